@@ -106,8 +106,10 @@ def collections(spark: SparkSession) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests: route = event type, latency in seconds (value is milliseconds), hit unless an
+    error."""
     e = read_table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("route"), F.col("value").alias("latency"),
+    return e.select(F.col("event_type").alias("route"), (F.col("value") / 1000.0).alias("latency"),
                     F.col("ts").alias("at"), (F.col("event_type") != "error").alias("hit"),
                     "event_id")
 
@@ -117,3 +119,18 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % N_RETAILERS).cast("int").alias("retailer_id"),
                     F.col("event_type").alias("outcome"), F.col("ts").alias("newest"),
                     F.col("ts").alias("at"), "event_id", "value")
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update stream per feed epoch: epoch = user_id mod 8, seq dense from 1 within the epoch
+    by (ts, event_id). Numbered with distributed dense ids (no window over an epoch)."""
+    from pricelake.functions.ids import dense_index
+
+    e = read_table(spark, sf_dir, "events").select(
+        (F.col("user_id") % N_RETAILERS).cast("long").alias("epoch"), "ts", "event_id",
+        "event_type", "value")
+    g = dense_index(e, ["epoch", "ts", "event_id"], 0, "gid")
+    first = g.groupBy("epoch").agg(F.min("gid").alias("g0"))
+    return (g.join(F.broadcast(first), "epoch")   # one row per epoch
+             .select("epoch", (F.col("gid") - F.col("g0") + 1).alias("seq"), "ts", "event_id",
+                     "event_type", "value"))
