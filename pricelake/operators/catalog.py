@@ -20,7 +20,7 @@ def product_offers(offers: DataFrame, retailers: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
     w = W.partitionBy("product_id").orderBy("price_cents", "retailer")
     return j.select("product_id", "retailer", "price_cents", "in_stock", "updated_at",
-                    F.row_number().over(w).alias("offer_rank"))
+                    F.row_number().over(w).cast("long").alias("offer_rank"))
 
 
 def product_detail(products: DataFrame, offers: DataFrame, retailers: DataFrame) -> DataFrame:

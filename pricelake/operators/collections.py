@@ -78,7 +78,8 @@ def collection_items(offers: DataFrame, products: DataFrame, collections: DataFr
                     .groupBy("product_id").agg(F.count(F.lit(1)).alias("offer_count")))
     kept = (sel.join(counts, "product_id", "inner")
                .filter((F.col("r_min_offers") <= 1) | (F.col("offer_count") >= F.col("r_min_offers"))))
-    fin = (kept.withColumn("position", F.row_number().over(W.partitionBy("slug").orderBy("pos")))
+    fin = (kept.withColumn("position", F.row_number().over(W.partitionBy("slug").orderBy("pos"))
+                                        .cast("long"))
                .filter(F.col("position") <= size))
     p = products.select(F.col("id").alias("product_id"), "title", "brand", "category")
     return (p.join(hint(fin), "product_id", "inner")

@@ -76,7 +76,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The inverted index (token, doc id, 1-based position) of a text column."""
     return (docs.select(F.col(id_col).alias("doc_id"),
                         F.posexplode(tokens(F.col(text_col))).alias("pos0", "token"))
-                .select("token", "doc_id", (F.col("pos0") + 1).alias("pos")))
+                .select("token", "doc_id", (F.col("pos0") + 1).cast("long").alias("pos")))
 
 
 def write_postings(p: DataFrame, path: str, n_files: int | None = None) -> None:

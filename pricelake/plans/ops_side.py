@@ -103,7 +103,7 @@ def q_ops_latency_histogram(spark, sf_dir):
 
 @query("ops_histogram_quantiles", HIST_SQL + """,
 tot AS (SELECT route, max(n) AS total FROM hist GROUP BY route),
-qs AS (SELECT unnest([0.5, 0.95, 0.99]) AS q),
+qs AS (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q),
 pick AS (
   SELECT t.route, qs.q, t.total, min(h.k) AS k FROM tot t CROSS JOIN qs
   JOIN hist h ON h.route = t.route AND h.n >= t.total * qs.q GROUP BY t.route, qs.q, t.total)
