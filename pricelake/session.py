@@ -45,6 +45,31 @@ def apply_engine_conf(spark: SparkSession) -> None:
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, ENGINE_CONF[k])
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pricelake`` importable on the executors (the Pandas-function stages unpickle their
+    functions there): zip the package once per context and ``addPyFile`` it."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="pricelake-pkg-", dir=os.environ.get("PRICELAKE_SCRATCH", "/tmp"))
+    path = os.path.join(out, "pricelake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
