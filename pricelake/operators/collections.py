@@ -103,3 +103,20 @@ def collection_members(offers: DataFrame, collections: DataFrame) -> DataFrame:
 def collection_index(collections: DataFrame) -> DataFrame:
     """(slug, title) by slug."""
     return collections.select("slug", "title").orderBy("slug")
+
+
+def collections_from_json(rows: DataFrame) -> DataFrame:
+    """Rule rows (slug, title, rules JSON text) → typed collections; a missing rule field is
+    NULL, which means "no filter" (the zero value of the reference's rule struct)."""
+    from pricelake.schemas import COLLECTION_RULES
+    return rows.select("slug", "title", F.from_json("rules", COLLECTION_RULES).alias("rules"))
+
+
+def upsert_collections(current: DataFrame, seed: DataFrame) -> DataFrame:
+    """A13 seed upsert by slug: the seed's title and rules replace the current ones."""
+    s = seed.alias("s")
+    c = current.alias("c")
+    return (c.join(s, "slug", "full")
+             .select("slug", F.coalesce("s.title", "c.title").alias("title"),
+                     F.when(F.col("s.slug").isNotNull(), F.col("s.rules"))
+                      .otherwise(F.col("c.rules")).alias("rules")))

@@ -69,3 +69,20 @@ def deals_slice(materialized: DataFrame, limit: int = 50) -> DataFrame:
     return (materialized.orderBy(F.col("savings_pct").desc(), F.col("best_price_cents").asc(),
                                  F.col("product_id").asc())
                         .limit(n))
+
+
+def materialize(deals_df: DataFrame, root: str, version: int) -> None:
+    """Write the whole list as a new version, then publish it with a manifest row.
+
+    A failed refresh leaves the previous version published (no TTL, never delete first); readers
+    take the highest published version (``read_materialized``)."""
+    spark = deals_df.sparkSession
+    deals_df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    (spark.createDataFrame([(version,)], "version long")
+          .write.mode("append").parquet(f"{root}/_published"))
+
+
+def read_materialized(spark, root: str) -> DataFrame:
+    """A12 read side: the last published deals list."""
+    v = spark.read.parquet(f"{root}/_published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root}/v={v}")
