@@ -110,10 +110,33 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, target_id, k: int = N
     return d.drop("_t").orderBy(F.col("distance"), F.col(id_col)).limit(k)
 
 
-def similar_products(products: DataFrame, emb: DataFrame, offers: DataFrame,
-                     target_id, k: int = NEIGHBOURS) -> DataFrame:
-    """H6: nearest products with their live best offer; products without offers drop."""
-    nn = nearest(emb, "id", "embedding", target_id, k).select("id", "distance")
+def nearest_sparse(cells: DataFrame, target_id, k: int = NEIGHBOURS) -> DataFrame:
+    """H5 + H6 core on sparse vectors (id, idx, value): dot products by an equi-join on idx with
+    the target's cells (at most DIM rows, broadcast) and one hash aggregate per id — fully
+    code-generated, no per-element higher-order functions. Ids sharing no index with the target
+    have dot 0 (distance 1)."""
+    t = broadcast_bounded(cells.filter(F.col("id") == target_id)
+                          .select("idx", F.col("value").cast("double").alias("tv")))
+    tnorm = t.agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
+    dots = (cells.join(t, "idx").groupBy("id")
+                 .agg(F.sum(F.col("value").cast("double") * F.col("tv")).alias("dot")))
+    norms = cells.groupBy("id").agg(
+        F.sqrt(F.sum(F.col("value").cast("double") * F.col("value").cast("double"))).alias("nv"))
+    d = (norms.filter(F.col("id") != target_id).join(dots, "id", "left")
+              .crossJoin(broadcast_bounded(tnorm))                 # one-row scalar
+              .select("id", (1 - F.coalesce("dot", F.lit(0.0)) / (F.col("nv") * F.col("tn")))
+                      .alias("distance")))
+    return d.orderBy("distance", "id").limit(k)
+
+
+def similar_products(products: DataFrame, emb: DataFrame | None, offers: DataFrame,
+                     target_id, k: int = NEIGHBOURS, cells: DataFrame | None = None) -> DataFrame:
+    """H6: nearest products with their live best offer; products without offers drop.
+    Uses the sparse cells when given (``sparse_embeddings``), else the dense vectors."""
+    if cells is not None:
+        nn = nearest_sparse(cells, target_id, k)
+    else:
+        nn = nearest(emb, "id", "embedding", target_id, k).select("id", "distance")
     p = products.select("id", "title", "brand", "category")
     nn = broadcast_bounded(nn.join(p, "id"))
     o = offers.select(F.col("product_id").alias("id"), "price_cents", "in_stock")

@@ -93,7 +93,8 @@ GROUP BY p.id, p.title, p.brand, p.category, nn.distance""")
 def q_similar_products(spark, sf_dir):
     """H6: the 12 nearest products to one product, with their live best offer."""
     p = fx.products(spark, sf_dir)
-    return sm.similar_products(p, sm.embeddings(p), fx.offers(spark, sf_dir), TARGET_PRODUCT)
+    return sm.similar_products(p, None, fx.offers(spark, sf_dir), TARGET_PRODUCT,
+                               cells=sm.sparse_embeddings(p))
 
 
 @query("similar_vectors", """WITH
