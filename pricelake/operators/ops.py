@@ -102,20 +102,19 @@ def change_feed_status(log: DataFrame, since: int, limit: int, retained_from: in
 def gaps(delivered: DataFrame) -> DataFrame:
     """L4 in batch: sequence gaps per epoch as (epoch, after_seq, next_seq).
 
-    Gap starts are delivered rows whose successor is missing and gap ends are delivered rows
-    whose predecessor is missing, both found by anti joins on (epoch, seq ± 1); the k-th start
-    pairs with the k-th end. Only the gap rows are ranked, so no task sorts a whole epoch and no
-    pairs of rows are formed."""
+    Gap starts are delivered rows whose successor is missing (an anti join on (epoch, seq + 1)).
+    The row after a gap is the next delivered row, i.e. the delivered row whose rank within the
+    epoch is one higher; ranks come from distributed dense ids (range partitions, no window over
+    an epoch), so the pairing is an equi-join on (epoch, rank) and no task sees a whole epoch."""
+    from pricelake.functions.ids import dense_index
+
     d = delivered.select("epoch", "seq")
-    bounds = d.groupBy("epoch").agg(F.min("seq").alias("first"), F.max("seq").alias("head"))
-    bounds = broadcast_if_small(bounds, 100_000)
+    g = dense_index(d, ["epoch", "seq"], 0, "_g")
+    first = g.groupBy("epoch").agg(F.min("_g").alias("_g0"))
+    ranked = (g.join(broadcast_if_small(first, 100_000), "epoch")
+               .select("epoch", "seq", (F.col("_g") - F.col("_g0")).alias("rank")))
     succ = d.select("epoch", (F.col("seq") - 1).alias("seq"))
-    pred = d.select("epoch", (F.col("seq") + 1).alias("seq"))
-    starts = (d.join(succ, ["epoch", "seq"], "left_anti").join(bounds, "epoch")
-               .filter(F.col("seq") < F.col("head")).select("epoch", F.col("seq").alias("after_seq")))
-    ends = (d.join(pred, ["epoch", "seq"], "left_anti").join(bounds, "epoch")
-             .filter(F.col("seq") > F.col("first")).select("epoch", F.col("seq").alias("next_seq")))
-    from pyspark.sql import Window as W
-    rs = starts.withColumn("k", F.row_number().over(W.partitionBy("epoch").orderBy("after_seq")))
-    re_ = ends.withColumn("k", F.row_number().over(W.partitionBy("epoch").orderBy("next_seq")))
-    return rs.join(re_, ["epoch", "k"]).select("epoch", "after_seq", "next_seq")
+    starts = ranked.join(succ, ["epoch", "seq"], "left_anti")
+    nxt = ranked.select("epoch", (F.col("rank") - 1).alias("rank"), F.col("seq").alias("next_seq"))
+    return (starts.join(nxt, ["epoch", "rank"], "inner")      # the last row of an epoch drops
+                  .select("epoch", F.col("seq").alias("after_seq"), "next_seq"))
