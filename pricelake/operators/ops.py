@@ -118,3 +118,23 @@ def gaps(delivered: DataFrame) -> DataFrame:
     nxt = ranked.select("epoch", (F.col("rank") - 1).alias("rank"), F.col("seq").alias("next_seq"))
     return (starts.join(nxt, ["epoch", "rank"], "inner")      # the last row of an epoch drops
                   .select("epoch", F.col("seq").alias("after_seq"), "next_seq"))
+
+
+def cursor_positions(page_log: DataFrame) -> DataFrame:
+    """The latest position per retailer over the processed-page log
+    (retailer, arrival, phase, epoch, page, next_seq): the (phase, epoch, page, next_seq) of the
+    last page processed. A hash aggregate with ``max_by``, partial per task."""
+    last = F.max_by(F.struct("phase", "epoch", "page", "next_seq"), "arrival")
+    return page_log.groupBy("retailer").agg(last.alias("p")).select("retailer", "p.*")
+
+
+def epoch_resets(page_log: DataFrame) -> DataFrame:
+    """L3 in batch: pages whose epoch differs from the previous page of the same retailer (the
+    feed restarted, its sequence space reset: a resync is due). The page log has one row per
+    page (hundreds of items each), so the per-retailer window runs over pages, not items."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("retailer").orderBy("arrival")
+    prev = F.lag("epoch").over(w)
+    return (page_log.select("retailer", "arrival", "epoch", prev.alias("prev_epoch"))
+                    .filter(F.col("prev_epoch").isNotNull() & (F.col("epoch") != F.col("prev_epoch"))))

@@ -40,3 +40,15 @@ def test_gone(spark):
 def test_gaps(spark):
     g = ops.gaps(log(spark, [1, 2, 3, 6, 7, 10])).orderBy("after_seq").collect()
     assert [(r["after_seq"], r["next_seq"]) for r in g] == [(3, 6), (7, 10)]
+
+
+def test_cursor_positions_and_epoch_resets(spark):
+    rows = [("valuecart", 1, "catalog", 100, 0, 5), ("valuecart", 2, "offers", 100, 1, 9),
+            ("valuecart", 3, "offers", 200, 0, 0), ("shopmax", 1, "catalog", 7, 0, 3)]
+    log = spark.createDataFrame(rows, "retailer string, arrival long, phase string, epoch long, "
+                                      "page long, next_seq long")
+    pos = {r["retailer"]: (r["phase"], r["epoch"], r["next_seq"])
+           for r in ops.cursor_positions(log).collect()}
+    assert pos == {"valuecart": ("offers", 200, 0), "shopmax": ("catalog", 7, 3)}
+    resets = ops.epoch_resets(log).collect()
+    assert [(r["retailer"], r["arrival"], r["prev_epoch"]) for r in resets] == [("valuecart", 3, 100)]
