@@ -95,3 +95,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def freeze(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table under the shared checkpoint folder and
+    reading it back: one pass (an eager ``checkpoint()`` computes its input twice: a count, then
+    the write). Use where the partition layout need not survive; otherwise ``checkpoint()``."""
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
