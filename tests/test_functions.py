@@ -35,3 +35,20 @@ def test_money(spark):
     df = spark.createDataFrame([(4599, 5000)], "b long, m long")
     r = df.select(usd(F.col("b")).alias("u"), bar_pct(F.col("b"), F.col("m")).alias("p")).first()
     assert (r["u"], r["p"]) == ("$45.99", 91)
+
+
+def test_embedding_backfill_only_fills_nulls(spark):
+    from pricelake.operators.similar import DIM, backfill, embeddings
+
+    rows = [(1, "Arvello Pro Drill 512", "Arvello", "tools", {"size": "1"}),
+            (2, "Kestrel Sander", "Kestrel", "tools", None)]
+    p = spark.createDataFrame(rows, "id long, title string, brand string, category string, "
+                                    "attrs map<string,string>")
+    keep = [0.5] * DIM
+    with_emb = p.join(embeddings(p.filter("id = 2")), "id", "left") \
+                .withColumn("embedding", F.when(F.col("id") == 2, F.lit(keep).cast("array<float>")))
+    once = {r["id"]: r["embedding"] for r in backfill(with_emb).collect()}
+    assert once[2] == keep                       # existing vector untouched
+    assert abs(sum(x * x for x in once[1]) - 1) < 1e-5
+    twice = {r["id"]: r["embedding"] for r in backfill(backfill(with_emb)).collect()}
+    assert twice == once                         # safe to re-run
