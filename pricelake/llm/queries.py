@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import quality_classifier
+from pricelake.llm import quality_classifier, quality_rules
 from pricelake.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels outside the held-out third train the network."""
     prepare(spark)
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics, base verdict and robust outlier verdict of every document."""
+    prepare(spark)
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
