@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import quality_classifier, quality_rules
+from pricelake.llm import line_dedup, quality_classifier, quality_rules, simhash_dedup
 from pricelake.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics, base verdict and robust outlier verdict of every document."""
     prepare(spark)
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_simhash_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document at three-word shingles and three bits."""
+    prepare(spark)
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@_query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the three-line windows that occur earlier in the corpus."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs)
