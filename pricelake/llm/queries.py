@@ -3,13 +3,18 @@ and DuckDB SQL where SQL can express the rows."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import line_dedup, quality_classifier, quality_rules, simhash_dedup
+from pricelake.llm import line_dedup, packing, quality_classifier, quality_rules, simhash_dedup
 from pricelake.llm.common import prepare, table
 
+#: Folder of the tokenizer files; every operator takes the path as a parameter.
+TOKENIZERS = public_tokenizers.path("")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,3 +55,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs)
+
+
+@_query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 4096 tokens."""
+    prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
