@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import line_dedup, packing, quality_classifier, quality_rules, simhash_dedup
+from pricelake.llm import chat_format, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
 from pricelake.llm.common import prepare, table
 
 #: Folder of the tokenizer files; every operator takes the path as a parameter.
@@ -62,3 +62,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens."""
     prepare(spark)
     return packing.pack(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "word_bpe_49k.json"))
+
+
+@_query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    prepare(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
+
+
+@_query("op6_chat_format", chat_format.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings, formatted and read back."""
+    prepare(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
+                                "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.digests(chat_format.formatted(turns.unionByName(own)))
