@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import chat_format, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
+from pricelake.llm import byte_bpe, chat_format, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
 from pricelake.llm.common import prepare, table
 
 #: Folder of the tokenizer files; every operator takes the path as a parameter.
@@ -80,3 +80,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
                                 "conv_id bigint, turn bigint, role string, text string")
     return chat_format.digests(chat_format.formatted(turns.unionByName(own)))
+
+
+@_query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    prepare(spark)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
