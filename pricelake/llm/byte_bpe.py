@@ -1,19 +1,21 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-*Tables.* The rank file becomes two literals: ``ranks``, an array of strings that maps the hash of a
-pair of token ids to the entries ``,LLLLRRRRMMMM`` (left, right and merged id, four hex digits
-each), and ``pieces``, the hex bytes of every id. The merged id is the rank. Both are bound once per
-expression, so a task carries one copy.
+*Tables.* The rank file becomes three literals: ``pairs`` maps a pair of token ids to the id that they
+merge to, which is the rank (an array of small maps by the hash of the pair, since a lookup in one
+large map is a linear search), ``bytes`` has the id of each byte, ``pieces`` the hex bytes of each
+id. They are bound once per expression, so a task carries one copy of each.
 
 *Encoding.* A text is split by the pattern. A word starts as the ids of its single bytes; a fold over
 its length merges, at each step, the leftmost pair of the lowest rank and looks up the two pairs that
-the new token forms. Words are folded once where they are distinct: the ``COMMON`` most frequent
-words of a sample are folded up front into a third literal (a cache of bounded size: which words it
-holds changes the time, not the ids), all others once per slice of ``SLICE`` words of a document, so
-the work on a very long text stays in proportion to its length. Nothing is shuffled but the counts
-of the sampled words.
+the new token forms. The state of the fold is two strings of ids of four hex digits, between end
+marks: the tokens, and what each would merge to with its predecessor; cutting strings is several
+times cheaper than slicing arrays, and a smaller string is a lower rank. Words are folded where they are distinct: the ``COMMON`` most frequent words of a
+sample once up front into two more literals (a cache of bounded size: which words it holds changes
+the time, not the ids), all others once per slice of ``SLICE`` words of a document, so the work on a
+very long text stays in proportion to its length. Nothing is shuffled but the counts of the sampled
+words.
 
-*Decoding.* Every id gives its binary piece; the pieces are concatenated.
+*Decoding.* Every id gives its piece; the pieces are concatenated to the bytes of the text.
 
 Defined results: null and empty texts have no tokens and empty bytes; repeated rows are encoded one
 by one; extra columns are ignored; an empty table gives an empty result. One unbroken word of n
@@ -23,6 +25,7 @@ bytes costs n squared, as in the library.
 from __future__ import annotations
 
 import base64
+import json
 
 import public_tokenizers
 import xxhash
@@ -31,20 +34,25 @@ from pyspark.sql import functions as F
 
 from pricelake.llm.common import col
 
-BUCKETS = 1 << 14
-COMMON = 100_000
-COMMON_BUCKETS = 1 << 16
+BUCKETS = 1 << 16
+#: End marks of the fold's strings, and "does not merge"; greater than any id.
+NONE = "ZZZZ"
+COMMON = 400_000
+COMMON_SLOTS = 1 << 19
 #: Share of the documents whose words are counted for the cache.
-SAMPLE = 0.04
+SAMPLE = 0.12
 SLICE = 4096
 
 #: Java's \\s is ASCII without (?U).
 PATTERN = "(?U)" + public_tokenizers.PATTERN
 
 
-def _bucket(key: str, n: int) -> int:
-    h = xxhash.xxh64_intdigest(key.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % n
+def _hash(*keys: bytes) -> int:
+    """Spark's ``xxhash64`` of strings, unsigned."""
+    seed = 42
+    for k in keys:
+        seed = xxhash.xxh64_intdigest(k, seed)
+    return seed
 
 
 def _let(value: Column, body) -> Column:
@@ -58,82 +66,96 @@ class Tables:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.size = max(ranks.values()) + 1
-        pieces = [""] * self.size
-        entries = [[] for _ in range(BUCKETS)]
+        if max(ranks.values()) >= 1 << 16:
+            raise ValueError("ids beyond 16 bits")
+        name = {piece: f"{rank:04X}" for piece, rank in ranks.items()}
+        pieces = [""] * (max(ranks.values()) + 1)
+        pairs: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
             for k in range(1, len(piece)):           # every pair of tokens that joins to this one
-                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-                if a is not None and b is not None:
-                    entries[_bucket(f"{a:04X}{b:04X}", BUCKETS)].append(f",{a:04X}{b:04X}{rank:04X}")
-        if self.size > 1 << 16:
-            raise ValueError("ids of more than four hex digits")
+                a, b = name.get(piece[:k]), name.get(piece[k:])
+                if a and b:
+                    pairs[_hash(a.encode(), b.encode()) % BUCKETS][a + b] = name[piece]
         self.pieces = F.split(F.lit(" ".join(pieces)), " ", -1)
-        self.ranks = F.split(F.lit("|".join("".join(e) for e in entries)), r"\|", -1)
-        #: the id of each byte, in the order of the bytes
-        self.bytes = F.split(F.lit(" ".join(f"{ranks[bytes([b])]:04X}" for b in range(256))), " ", -1)
-        self.common = None
+        self.pairs = F.from_json(F.lit(json.dumps(pairs)), "array<map<string,string>>")
+        self.bytes = F.split(F.lit(" ".join(name[bytes([b])] for b in range(256))), " ", -1)
+        self.with_common([])
 
     def with_common(self, words: list[tuple[str, str]]) -> Tables:
-        """Adds the cache of folded words: ``\\1word\\2ids``, the ids in decimal."""
-        entries = [[] for _ in range(COMMON_BUCKETS)]
+        """Sets the cache: two arrays of slots with ``word\\2ids``, ids in decimal. A word takes its
+        slot in the first, else its slot in the second, else it is not cached."""
+        slots = [[""] * COMMON_SLOTS, [""] * COMMON_SLOTS]
         for word, ids in words:
-            if not set(word) & {"\1", "\2", "\3"}:
-                entries[_bucket(word, COMMON_BUCKETS)].append(f"\1{word}\2{ids}")
-        self.common = F.split(F.lit("\3".join("".join(e) for e in entries)), "\3", -1)
+            if not set(word) & {"\1", "\2"}:
+                h = _hash(word.encode())
+                for k, at in enumerate((h % COMMON_SLOTS, (h >> 32) % COMMON_SLOTS)):
+                    if not slots[k][at]:
+                        slots[k][at] = f"{word}\2{ids}"
+                        break
+        self.common, self.common2 = (F.split(F.lit("\1".join(s)), "\1", -1) for s in slots)
         return self
 
+    def bind(self, body) -> Column:
+        """``body`` of a struct of the tables (pairs, bytes, common, common2)."""
+        names = ("pairs", "bytes", "common", "common2")
+        return _let(F.struct(*[getattr(self, n).alias(n) for n in names]), body)
+
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def _rank(ranks: Column, a: Column, b: Column) -> Column:
-    """The merged id of a pair, null where it does not merge."""
-    return _let(F.concat(a, b), lambda pair: _let(
-        F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")), lambda bucket: _let(
-            F.instr(bucket, F.concat(F.lit(","), pair)), lambda at: F.when(at > 0, F.substring(bucket, at + 9, F.lit(4))))))
+def _merged(e: Column, a: Column, b: Column) -> Column:
+    """The id that a pair of ids merges to, or ``NONE``."""
+    bucket = F.get(e["pairs"], F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
+    return F.coalesce(F.try_element_at(bucket, F.concat(a, b)), F.lit(NONE))
 
 
-def _merge(ranks: Column, acc: Column) -> Column:
-    """One step of the fold: merges the leftmost pair of the lowest rank, if any."""
+def _step(e: Column, acc: Column) -> Column:
+    """Merges the leftmost pair of the lowest rank, if any. An id is at position 5 i + 1 of its string;
+    a match is never across ids, because they are separated by spaces."""
     t, r = acc["t"], acc["r"]
-    some = lambda c, x: F.when(c, F.array(x)).otherwise(F.array().cast("array<string>"))
+    part = lambda c, at: F.substring(c, at, F.lit(4))
 
-    def at(m: Column) -> Column:
-        return _let(F.array_position(r, m).cast("int"), lambda p: F.struct(
-            F.concat(F.slice(t, F.lit(1), p - 1), F.array(m), F.slice(t, p + 2, F.size(t))).alias("t"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), some(p > 1, _rank(ranks, F.get(t, p - 2), m)),
-                     some(p + 1 < F.size(t), _rank(ranks, m, F.get(t, p + 1))), F.slice(r, p + 2, F.size(t))).alias("r")))
+    def at(m: Column, q: Column) -> Column:
+        return F.struct(
+            F.concat(F.substring(t, F.lit(1), q - 6), m, F.substring(t, q + 4, F.length(t))).alias("t"),
+            F.concat(F.substring(r, F.lit(1), q - 6), _merged(e, part(t, q - 10), m), F.lit(" "),
+                     _merged(e, m, part(t, q + 5)), F.substring(r, q + 9, F.length(r))).alias("r"))
 
-    return _let(F.array_min(r), lambda m: F.when(m.isNull(), acc).otherwise(at(m)))
+    return _let(F.array_min(F.split(r, " ")), lambda m: F.when(m == NONE, acc).otherwise(
+        _let(F.instr(r, m), lambda q: at(m, q))))
 
 
-def fold(word: Column, ranks: Column, byte_ids: Column) -> Column:
+def fold(word: Column, e: Column) -> Column:
     """Ids of a word in decimal, joined by one space."""
-    def start(h: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda i: F.get(
-            byte_ids, F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
-        return _let(each, lambda t: F.struct(t.alias("t"), F.transform(
-            F.slice(t, F.lit(2), F.size(t)), lambda b, i: _rank(ranks, F.get(t, i), b)).alias("r")))
-
-    done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start(F.hex(word.cast("binary"))),
-                       lambda acc, _: _merge(ranks, acc))
-    return F.array_join(F.transform(done["t"], lambda x: F.conv(x, 16, 10)), " ")
-
-
-def _slice_ids(some: Column, ranks: Column, byte_ids: Column, common: Column) -> Column:
+    n = F.octet_length(word)
+    plain = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(e["bytes"], F.ascii(F.substring(word, i, F.lit(1)))))
+    other = _let(F.hex(word.cast("binary")), lambda h: F.transform(F.sequence(F.lit(1), n), lambda i: F.get(
+        e["bytes"], F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))))
+    start = _let(F.when(n == F.char_length(word), plain).otherwise(other), lambda ids: F.struct(
+        F.concat(F.lit(f"{NONE} "), F.array_join(ids, " "), F.lit(f" {NONE}")).alias("t"),
+        F.concat(F.lit(f"{NONE} {NONE} "), F.array_join(F.transform(
+            F.slice(ids, F.lit(2), n), lambda b, i: F.concat(_merged(e, F.get(ids, i), b), F.lit(" "))), ""), F.lit(NONE)).alias("r")))
+    done = F.aggregate(F.sequence(F.lit(1), n), start, lambda acc, _: _step(e, acc))
+    ids = F.filter(F.split(done["t"], " "), lambda x: x != NONE)
+    return F.array_join(F.transform(ids, lambda x: F.conv(x, 16, 10)), " ")
+
+
+def _slice_ids(some: Column, e: Column) -> Column:
     """Ids of a slice of words: from the cache, else folded once per distinct word."""
+    def cached(slots: Column, at: Column, w: Column) -> Column:
+        return _let(F.get(slots, F.pmod(at, F.lit(COMMON_SLOTS)).cast("int")), lambda x: F.when(
+            F.startswith(x, F.concat(w, F.lit("\2"))), F.substring_index(x, "\2", -1)))
+
     def known(w: Column) -> Column:
-        key = F.concat(F.lit("\1"), w, F.lit("\2"))
-        return _let(F.get(common, F.pmod(F.xxhash64(w), F.lit(COMMON_BUCKETS)).cast("int")), lambda bucket: _let(
-            F.instr(bucket, key), lambda at: F.when((at > 0) & ~F.contains(w, F.lit("\1")), F.substring_index(
-                F.substring(bucket, at + F.char_length(key), F.char_length(bucket)), "\1", 1))))
+        h = F.xxhash64(w)
+        return F.coalesce(cached(e["common"], h, w), cached(e["common2"], F.shiftrightunsigned(h, 32), w))
 
     def joined(hit: Column) -> Column:
         rare = F.array_distinct(F.filter(some, lambda w, i: F.get(hit, i).isNull()))
-        return _let(rare, lambda rw: _let(F.transform(rw, lambda w: fold(w, ranks, byte_ids)), lambda ids: F.array_join(
+        return _let(rare, lambda rw: _let(F.transform(rw, lambda w: fold(w, e)), lambda ids: F.array_join(
             F.transform(some, lambda w, i: F.coalesce(F.get(hit, i), F.get(ids, F.array_position(rw, w).cast("int") - 1))), " ")))
 
     return _let(F.transform(some, known), joined)
@@ -141,26 +163,23 @@ def _slice_ids(some: Column, ranks: Column, byte_ids: Column, common: Column) ->
 
 def ids_text(text: Column, tables: Tables) -> Column:
     """Ids of a whole text in decimal, joined by one space."""
-    env = F.array(F.struct(tables.ranks.alias("r"), tables.bytes.alias("b"), tables.common.alias("c")))
-    return F.get(F.transform(env, lambda e: _let(words(text), lambda w: F.array_join(F.transform(
+    return tables.bind(lambda e: _let(words(text), lambda w: F.array_join(F.transform(
         F.sequence(F.lit(0), F.floor((F.size(w) + SLICE - 1) / SLICE).cast("int")),
-        lambda k: F.when(k * SLICE < F.size(w), _slice_ids(F.slice(w, k * SLICE + 1, F.lit(SLICE)), e["r"], e["b"], e["c"]))), " "))), F.lit(0))
+        lambda k: F.when(k * SLICE < F.size(w), _slice_ids(F.slice(w, k * SLICE + 1, F.lit(SLICE)), e))), " ")))
 
 
 def decode(ids: Column, tables: Tables) -> Column:
     """The bytes of an array of ids."""
-    return F.get(F.transform(F.array(tables.pieces), lambda pieces: F.array_join(F.transform(
-        ids, lambda i: F.unhex(F.get(pieces, i)).cast("string")), "")), F.lit(0)).cast("binary")
+    return _let(tables.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
 def common_words(docs: DataFrame, tables: Tables, text: str = "text") -> list[tuple[str, str]]:
     """The most frequent words of a sample of documents with their ids; at most ``COMMON`` rows."""
     top = (docs.sample(SAMPLE, 2).select(F.explode(words(col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-           .orderBy(F.desc("n"), "w").limit(COMMON))
-    env = F.array(F.struct(tables.ranks.alias("r"), tables.bytes.alias("b")))
-    ids = F.get(F.transform(env, lambda e: fold(F.col("w"), e["r"], e["b"])), F.lit(0))
+           .where("n > 1").orderBy(F.desc("n"), "w").limit(COMMON))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return [tuple(r) for r in top.repartition(n).select("w", ids.alias("ids")).collect()]
+    return [tuple(r) for r in top.repartition(n, "w").select("n", "w", tables.bind(lambda e: fold(F.col("w"), e)).alias("ids"))
+            .orderBy(F.desc("n"), "w").select("w", "ids").collect()]
 
 
 def encode(docs: DataFrame, tables: Tables, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
