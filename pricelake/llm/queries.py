@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelake.llm import byte_bpe, chat_format, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
+from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
 from pricelake.llm.common import prepare, table
 
 #: Folder of the tokenizer files; every operator takes the path as a parameter.
@@ -87,3 +87,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     prepare(spark)
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+
+
+@_query("op1_html_extract")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    prepare(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op3_embedding_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    prepare(spark)
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
