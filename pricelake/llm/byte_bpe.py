@@ -37,10 +37,10 @@ from pricelake.llm.common import col
 BUCKETS = 1 << 16
 #: End marks of the fold's strings, and "does not merge"; greater than any id.
 NONE = "ZZZZ"
-COMMON = 400_000
-COMMON_SLOTS = 1 << 19
+COMMON = 150_000
+COMMON_SLOTS = 1 << 18
 #: Share of the documents whose words are counted for the cache.
-SAMPLE = 0.12
+SAMPLE = 0.08
 SLICE = 4096
 
 #: Java's \\s is ASCII without (?U).

@@ -41,9 +41,9 @@ SAMPLE = 16_384
 MAX_LISTS = 1024
 PARTS = 8
 CODES = 64
-PROBES = 12
+PROBES = 32
 #: Added to the squared distance of the threshold for the coding error.
-SLACK = 0.25
+SLACK = 0.35
 BLOCK = 4096
 
 

@@ -3,8 +3,9 @@
 *Pieces.* A document is its token ids (the library's own ids, whole text) and one closing id. Only
 documents longer than a sequence are cut, into full pieces and a rest. Text is encoded chunk by
 chunk between spaces and line ends: the tokenizer drops white space and none of its steps looks
-across it, so the ids are those of the whole text, and repeated chunks are encoded once per worker
-(a cache of ``CACHE`` chunks, emptied when full).
+across it, so the ids are those of the whole text. Repeated chunks are encoded once per worker, and
+plain ones as their runs of letters, digits and symbols (caches of ``CACHE`` entries each, emptied
+when full).
 
 *Packing.* Full pieces are sequences of their own. The others are dealt by a hash of their row
 (equal rows spread too) into blocks of about ``BLOCK`` pieces; every block is evolved by ``ISLANDS`` islands, a Spark row each. An island
@@ -24,6 +25,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -37,7 +39,7 @@ from pricelake.session import freeze
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 300_000
+CACHE = 400_000
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
@@ -46,34 +48,58 @@ GENERATIONS = 10
 KEEP = 0.995
 
 _ENCODERS: dict[str, tuple] = {}
+#: Characters of chunks that are split into runs here: printable ASCII but ``'`` and ``<``, and the
+#: composed letters of Latin-1, which no step of the tokenizer changes except to lower case.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIMPLE = re.compile(f"[!-&(-;=-~{_LETTERS}]*")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 def _encoder(path: str):
-    """The tokenizer of ``path`` and the chunk cache of this worker."""
+    """The tokenizer of ``path`` and this worker's caches of chunks and of runs."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {"": b""})
+        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
     return _ENCODERS[path]
 
 
+def _parts(word: str) -> list[str] | None:
+    """Lower-case runs that the tokenizer splits a chunk into, or None where only it can tell: an
+    apostrophe starts contractions, ``<`` special tokens, other letters may be composed."""
+    return _RUNS.findall(word.lower()) if _SIMPLE.fullmatch(word) else None
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, cache = _encoder(path)
-    out = []
-    for text in texts:
-        words = (text or "").replace("\n", " ").split(" ")
-        missing = list({w for w in words if w not in cache})
-        if missing:
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                cache[""] = b""
-                missing = list({w for w in words if w})
-            for w, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        out.append(b"".join([cache[w] for w in words]))
-    return out
+    tokenizer, cache, runs = _encoder(path)
+    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    missing = {w for words in split for w in words if w not in cache}
+    if len(cache) + len(missing) > CACHE:
+        cache.clear()
+        missing = {w for words in split for w in words}
+    if len(runs) > CACHE:
+        runs.clear()
+    parts = {w: _parts(w) for w in missing}
+    new = list({x for w, p in parts.items() for x in ([w] if p is None else p) if x not in runs})
+    for x, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        runs[x] = np.array(e.ids, "<u4").tobytes()
+    for w, p in parts.items():
+        cache[w] = runs[w] if p is None else b"".join([runs[x] for x in p])
+    return [b"".join([cache[w] for w in words]) for words in split]
+
+
+def _by_size(texts: list[str | None], path: str, limit: int = 1 << 20):
+    """``encode`` for about a million characters at a time."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j] or "") < limit):
+            size += len(texts[j] or "")
+            j += 1
+        yield from encode(texts[i:j], path)
+        i = j
 
 
 _PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
@@ -83,8 +109,8 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     def cut(texts: pa.Array) -> pa.Array:
         out, step, end = [], 4 * capacity, np.array([CLOSING_ID], "<u4").tobytes()
-        for t in texts:
-            ids = encode([t.as_py()], path)[0] + end
+        for ids in _by_size(texts.to_pylist(), path):
+            ids += end
             out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
                         for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at:at + step],)])
         return pa.array(out, _PIECES)
