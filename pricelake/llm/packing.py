@@ -39,7 +39,7 @@ from pricelake.session import freeze
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 400_000
+CACHE = 900_000
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
@@ -75,10 +75,10 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers."""
     tokenizer, cache, runs = _encoder(path)
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    missing = {w for words in split for w in words if w not in cache}
+    found = [list(map(cache.get, words)) for words in split]
+    missing = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
     if len(cache) + len(missing) > CACHE:
         cache.clear()
-        missing = {w for words in split for w in words}
     if len(runs) > CACHE:
         runs.clear()
     parts = {w: _parts(w) for w in missing}
@@ -87,7 +87,8 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
         runs[x] = np.array(e.ids, "<u4").tobytes()
     for w, p in parts.items():
         cache[w] = runs[w] if p is None else b"".join([runs[x] for x in p])
-    return [b"".join([cache[w] for w in words]) for words in split]
+    return [b"".join([cache[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got)
+            for words, got in zip(split, found, strict=True)]
 
 
 def _by_size(texts: list[str | None], path: str, limit: int = 1 << 20):
