@@ -18,7 +18,7 @@ from pricelake.session import apply_engine_conf, checkpoint_dir
 #: Rows of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 512
 #: Bytes of text that the hashing helper holds at once (one document may be longer).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -3,9 +3,9 @@
 *Pieces.* A document is its token ids (the library's own ids, whole text) and one closing id. Only
 documents longer than a sequence are cut, into full pieces and a rest. Text is encoded chunk by
 chunk between spaces and line ends: the tokenizer drops white space and none of its steps looks
-across it, so the ids are those of the whole text. Repeated chunks are encoded once per worker, and
+across it, so the ids are those of the whole text. Repeated chunks are encoded once per task, and
 plain ones as their runs of letters, digits and symbols (caches of ``CACHE`` entries each, emptied
-when full).
+when full and when the task ends).
 
 *Packing.* Full pieces are sequences of their own. The others are dealt by a hash of their row
 (equal rows spread too) into blocks of about ``BLOCK`` pieces; every block is evolved by ``ISLANDS`` islands, a Spark row each. An island
@@ -39,7 +39,7 @@ from pricelake.session import freeze
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 900_000
+CACHE = 250_000
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
@@ -56,7 +56,7 @@ _RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 def _encoder(path: str):
-    """The tokenizer of ``path`` and this worker's caches of chunks and of runs."""
+    """The tokenizer of ``path`` and the caches of chunks and of runs."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -103,22 +103,26 @@ def _by_size(texts: list[str | None], path: str, limit: int = 1 << 20):
         i = j
 
 
-_PIECES = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-
-
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
-    def cut(texts: pa.Array) -> pa.Array:
-        out, step, end = [], 4 * capacity, np.array([CLOSING_ID], "<u4").tobytes()
-        for ids in _by_size(texts.to_pylist(), path):
-            ids += end
-            out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                        for k, at in enumerate(range(0, len(ids), step)) for part in (ids[at:at + step],)])
-        return pa.array(out, _PIECES)
-
-    cut_udf = F.arrow_udf(cut, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
-    return (docs.select(col(doc_id).alias("doc_id"), F.explode(cut_udf(col(text).cast("string"))).alias("p"))
-            .select("doc_id", "p.*"))
+    def cut(batches):
+        step, end = 4 * capacity, np.array([CLOSING_ID], "<u4").tobytes()
+        try:
+            for b in batches:
+                rows = [(i, k, at // 4, len(ids[at:at + step]) // 4, zlib.crc32(ids[at:at + step]))
+                        for i, ids in enumerate(x + end for x in _by_size(b.column(1).to_pylist(), path))
+                        for k, at in enumerate(range(0, len(ids), step))]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()),
+                     *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:                                     # a worker outlives its task, the caches need not
+            for c in _encoder(path)[1:]:
+                c.clear()
+
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    return rows.mapInArrow(cut, schema)
 
 
 def best_fit(order, lengths, bins: list[list[int]], room: list[int], capacity: int) -> None:
