@@ -60,7 +60,8 @@ def deals(offers: DataFrame, products: DataFrame, retailers: DataFrame,
             .join(broadcast_bounded(r), "best_retailer_id", "left"))
     return out.select("product_id", "title", "brand", "category",
                       F.col("best").alias("best_price_cents"), "median_price_cents",
-                      "retailer", "savings_pct")
+                      "retailer", "savings_pct").orderBy(
+        F.col("savings_pct").desc(), F.col("best_price_cents").asc(), F.col("product_id").asc())
 
 
 def deals_slice(materialized: DataFrame, limit: int = 50) -> DataFrame:

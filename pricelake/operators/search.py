@@ -26,6 +26,7 @@ price (HAVING); order by id / price asc / price desc (id as tie-break); offset/l
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,12 @@ class TextQuery:
     none_of: list[str] = field(default_factory=list)
     phrase: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        # terms go through the tokenizer of the documents: lower case, letters and digits
+        for name in ("all_of", "any_of", "none_of", "phrase"):
+            words = [w for t in getattr(self, name) for w in re.findall(r"[^\W_]+", t.lower())]
+            setattr(self, name, words)
+
     def terms(self) -> list[str]:
         seen: list[str] = []
         for t in self.all_of + self.any_of + self.phrase + self.none_of:
@@ -64,7 +71,11 @@ class TextQuery:
         return not self.any_of and len(set(self.all_of + self.phrase)) >= 2
 
     def empty(self) -> bool:
-        return not (self.all_of or self.any_of or self.phrase)
+        return not (self.all_of or self.any_of or self.phrase or self.none_of)
+
+    def excludes_only(self) -> bool:
+        """Only ``none_of``: every document without these terms matches, with rank 0."""
+        return bool(self.none_of) and not (self.all_of or self.any_of or self.phrase)
 
 
 def tokens(text: Column) -> Column:
@@ -125,6 +136,17 @@ def _phrase_at(p: Column, phrase: list[str]) -> Column:
     return c
 
 
+def _pair_product(a: Column, b: Column) -> Column:
+    """Product of (1 − c) over all pairs of positions, by nested folds: no array of pairs is built."""
+    def one(x: Column, y: Column) -> Column:
+        return 1 - F.coalesce(F.sqrt(F.lit(RANK_WEIGHT * RANK_WEIGHT) * _wd(F.abs(x - y).cast("double"))), F.lit(0.0))
+
+    def row(x: Column) -> Column:
+        return F.aggregate(b, F.lit(1.0), lambda inner, y: inner * one(x, y))
+
+    return F.aggregate(a, F.lit(1.0), lambda acc, x: acc * row(x))
+
+
 def _rank(q: TextQuery) -> Column:
     tp = F.col("tp")
     w = RANK_WEIGHT
@@ -136,10 +158,7 @@ def _rank(q: TextQuery) -> Column:
             for k in range(i):
                 a = F.coalesce(tp[terms[i]], F.array().cast("array<int>"))
                 b = F.coalesce(tp[terms[k]], F.array().cast("array<int>"))
-                cs = F.flatten(F.transform(a, lambda x: F.transform(
-                    b, lambda y: F.sqrt(F.lit(w * w) * _wd(F.abs(x - y).cast("double"))))))
-                cs = F.filter(cs, lambda c: c.isNotNull())
-                prod = prod * F.aggregate(cs, F.lit(1.0), lambda acc, c: acc * (1 - c))
+                prod = prod * _pair_product(a, b)
         return 1 - prod
     acc = F.lit(0.0)
     for t in pos_terms:
@@ -153,9 +172,11 @@ def _rank(q: TextQuery) -> Column:
 def search(products: DataFrame, offers: DataFrame, post: DataFrame | None,
            q: TextQuery | None = None, category: str = "", brand: str = "",
            min_price: int | None = None, max_price: int | None = None,
-           sort: str = "", limit: int = LIMIT_DEFAULT, offset: int = 0) -> DataFrame:
+           sort: str = "", limit: int | None = LIMIT_DEFAULT, offset: int = 0,
+           cap: int | None = CANDIDATE_CAP) -> DataFrame:
     """One search page. Returns id, title, brand, category, best_price_cents, offer_count,
-    hit_count and truncated (hit_count = 1,000)."""
+    hit_count and truncated (hit_count = ``cap``). ``cap=None`` takes every match as a candidate
+    and returns every result; then nothing is broadcast by hint."""
     limit = LIMIT_DEFAULT if limit is None or limit < 0 else min(limit, LIMIT_MAX)
     offset = 0 if offset is None or offset < 0 else min(offset, OFFSET_MAX)
     p = products.select("id", "title", "brand", "category")
@@ -163,14 +184,18 @@ def search(products: DataFrame, offers: DataFrame, post: DataFrame | None,
         p = p.filter(F.col("category") == category)
     if brand:
         p = p.filter(F.col("brand") == brand)
-    if q is not None and not q.empty():
+    if q is not None and q.excludes_only():
+        out = post.filter(F.col("token").isin(q.none_of)).select(F.col("doc_id").alias("id")).distinct()
+        cand, order = p.join(out, "id", "left_anti"), [F.col("id")]
+    elif q is not None and not q.empty():
         ranked = match_and_rank(post, q).withColumnRenamed("doc_id", "id")
-        cand = p.join(ranked, "id", "inner").orderBy(F.col("rank").desc(), F.col("id")) \
-                .limit(CANDIDATE_CAP)
+        cand, order = p.join(ranked, "id", "inner"), [F.col("rank").desc(), F.col("id")]
+    else:
+        cand, order = p, [F.col("id")]
+    if cap is not None:      # at most cap rows from here on
+        cand = broadcast_bounded(cand.orderBy(*order).limit(cap).select(p.columns))
     else:
-        cand = p.orderBy("id").limit(CANDIDATE_CAP)
-    # At most CANDIDATE_CAP rows from here on.
-    cand = broadcast_bounded(cand.drop("rank") if "rank" in cand.columns else cand)
+        cand = cand.select(p.columns)
     n = cand.agg(F.count(F.lit(1)).alias("hit_count"))
     o = offers.select(F.col("product_id").alias("id"), "price_cents", "in_stock")
     j = o.join(cand, "id", "inner")
@@ -189,7 +214,7 @@ def search(products: DataFrame, offers: DataFrame, post: DataFrame | None,
         order = [F.col("best_price_cents").desc(), F.col("id").asc()]
     else:
         order = [F.col("id").asc()]
-    page = res.orderBy(*order).offset(offset).limit(limit)
+    page = res.orderBy(*order).offset(offset).limit(limit) if cap is not None else res
     return page.select("id", "title", "brand", "category", "best_price_cents",
                        F.col("offer_count").cast("long").alias("offer_count"), "hit_count",
-                       (F.col("hit_count") == CANDIDATE_CAP).alias("truncated"))
+                       (F.col("hit_count") == F.lit(-1 if cap is None else cap)).alias("truncated"))

@@ -92,12 +92,12 @@ def backfill(products: DataFrame) -> DataFrame:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """H5: 1 − a·b / (‖a‖‖b‖), accumulated in double."""
+    """H5: 1 − a·b / (‖a‖‖b‖), accumulated in double; NULL if one of them is the zero vector."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                       F.lit(0.0), lambda s, v: s + v)
     na = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     nb = F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return 1 - dot / (F.sqrt(na) * F.sqrt(nb))
+    return 1 - F.try_divide(dot, F.sqrt(na) * F.sqrt(nb))
 
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, target_id, k: int = NEIGHBOURS) -> DataFrame:
@@ -107,7 +107,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, target_id, k: int = N
                                .select(F.col(vec_col).alias("_t")).limit(1))
     cand = vectors.filter((F.col(id_col) != target_id) & F.col(vec_col).isNotNull())
     d = cand.crossJoin(target).withColumn("distance", cosine_distance(F.col(vec_col), F.col("_t")))
-    return d.drop("_t").orderBy(F.col("distance"), F.col(id_col)).limit(k)
+    return d.drop("_t").orderBy(F.col("distance").asc_nulls_last(), F.col(id_col)).limit(k)
 
 
 def nearest_sparse(cells: DataFrame, target_id, k: int = NEIGHBOURS) -> DataFrame:
@@ -124,9 +124,9 @@ def nearest_sparse(cells: DataFrame, target_id, k: int = NEIGHBOURS) -> DataFram
         F.sqrt(F.sum(F.col("value").cast("double") * F.col("value").cast("double"))).alias("nv"))
     d = (norms.filter(F.col("id") != target_id).join(dots, "id", "left")
               .crossJoin(broadcast_bounded(tnorm))                 # one-row scalar
-              .select("id", (1 - F.coalesce("dot", F.lit(0.0)) / (F.col("nv") * F.col("tn")))
+              .select("id", (1 - F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nv") * F.col("tn")))
                       .alias("distance")))
-    return d.orderBy("distance", "id").limit(k)
+    return d.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
 
 
 def similar_products(products: DataFrame, emb: DataFrame | None, offers: DataFrame,
@@ -143,6 +143,7 @@ def similar_products(products: DataFrame, emb: DataFrame | None, offers: DataFra
     return (o.join(nn, "id").groupBy("id", "title", "brand", "category", "distance")
              .agg(F.min(F.when(F.col("in_stock"), F.col("price_cents"))).alias("best_price_cents"),
                   F.count(F.lit(1)).alias("offer_count"))
+             .orderBy(F.col("distance").asc_nulls_last(), "id")          # at most k rows
              .select("id", "title", "brand", "category",
                      F.round("distance", 4).alias("distance"), "best_price_cents", "offer_count"))
 

@@ -51,18 +51,13 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(VIEWS[n] for n in order) + "\n"
 
 
-def collections_values() -> str:
-    """The collection seed as a VALUES list (same rows as ``fixtures.COLLECTION_SEED``)."""
-    from pricelake.sources.fixtures import COLLECTION_SEED
-
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        return str(v)
-
-    rows = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in COLLECTION_SEED)
-    return (f"collections(slug, title, category, brand, max_price_cents, min_offers) AS (\n"
-            f"  SELECT * FROM (VALUES\n    {rows}) AS t(slug, title, category, brand, "
-            f"max_price_cents, min_offers))")
+#: The rules of ``fixtures.collections``: one per category, one per brand, one over everything.
+COLLECTIONS_SQL = """collections(slug, title, category, brand, max_price_cents, min_offers) AS (
+  SELECT 'kind-' || replace(lower(p_type), ' ', '-'), 'All of ' || p_type, p_type, NULL, NULL,
+         CASE WHEN length(p_type) % 2 = 0 THEN 3 END FROM (SELECT DISTINCT p_type FROM part)
+  UNION ALL
+  SELECT 'maker-' || replace(lower(p_brand), '#', '-'), 'Made by ' || p_brand, NULL, p_brand,
+         20000 * length(p_brand), NULL FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL
+  SELECT 'often-sold', 'Sold in ' || CAST(count(DISTINCT p_type) AS VARCHAR) || ' kinds', NULL, NULL, 2000000, 4
+  FROM part)"""

@@ -76,35 +76,33 @@ def ranked_sql(q: se.TextQuery) -> str:
 
 def search_sql(q: se.TextQuery | None, category: str = "", brand: str = "",
                min_price: int | None = None, max_price: int | None = None, sort: str = "",
-               limit: int = 20, offset: int = 0) -> str:
-    sql = V("obs", "offers", "products")
-    where = ["TRUE"]
-    if category:
-        where.append(f"p.category = {_lit(category)}")
-    if brand:
-        where.append(f"p.brand = {_lit(brand)}")
-    if q is not None and not q.empty():
-        sql += ",\n" + _post_sql("products", "id", "title") + ",\n" + ranked_sql(q) + ",\n"
-        sql += (f"cand AS (SELECT p.id, p.title, p.brand, p.category FROM products p JOIN ranked r"
-                f" ON r.doc_id = p.id WHERE {' AND '.join(where)} ORDER BY r.rank DESC, p.id"
-                f" LIMIT 1000),\n")
-    else:
-        sql += (f",\ncand AS (SELECT p.id, p.title, p.brand, p.category FROM products p"
-                f" WHERE {' AND '.join(where)} ORDER BY p.id LIMIT 1000),\n")
-    having = ["best_price_cents IS NOT NULL"]
-    if min_price is not None:
-        having.append(f"best_price_cents >= {min_price}")
-    if max_price is not None:
-        having.append(f"best_price_cents <= {max_price}")
-    order = {"price_asc": "best_price_cents ASC, id", "price_desc": "best_price_cents DESC, id"}
-    sql += ("n AS (SELECT count(*) AS c FROM cand),\n"
-            "res AS (SELECT c.id, c.title, c.brand, c.category,"
-            " min(o.price_cents) FILTER (WHERE o.in_stock) AS best_price_cents,"
-            " count(*) AS offer_count FROM cand c JOIN offers o ON o.product_id = c.id"
-            f" GROUP BY c.id, c.title, c.brand, c.category HAVING {' AND '.join(having)})\n"
-            "SELECT res.*, n.c AS hit_count, n.c = 1000 AS truncated FROM res CROSS JOIN n"
-            f" ORDER BY {order.get(sort, 'id')} LIMIT {limit} OFFSET {offset}")
-    return sql
+               limit: int = 20, offset: int = 0, cap: int | None = 1000) -> str:
+    """Offers are summed up per product first; hits are numbered by windows."""
+    match = "SELECT id AS doc_id, 0 AS rank FROM products"
+    ctes = V("obs", "offers", "products")
+    if q is not None and q.excludes_only():
+        ctes += ",\n" + _post_sql("products", "id", "title")
+        words = ", ".join(map(_lit, q.none_of))
+        match += f" WHERE id NOT IN (SELECT doc_id FROM post WHERE token IN ({words}))"
+    elif q is not None and not q.empty():
+        ctes += ",\n" + _post_sql("products", "id", "title") + ",\n" + ranked_sql(q)
+        match = "SELECT doc_id, rank FROM ranked"
+    keep = [f"{c} = {_lit(v)}" for c, v in (("category", category), ("brand", brand)) if v]
+    band = [f"best >= {min_price}"] * (min_price is not None) + [f"best <= {max_price}"] * (max_price is not None)
+    by = {"price_asc": "best_price_cents, id", "price_desc": "best_price_cents DESC, id"}.get(sort, "id")
+    page = f" ORDER BY {by} LIMIT {limit} OFFSET {offset}" if cap else ""
+    return ctes + f""",
+priced AS (
+  SELECT product_id, min(CASE WHEN in_stock THEN price_cents END) AS best, count(*) AS n_offers
+  FROM offers GROUP BY product_id),
+numbered AS (
+  SELECT m.doc_id, row_number() OVER (ORDER BY m.rank DESC, m.doc_id) AS place
+  FROM ({match}) m JOIN products ON id = m.doc_id WHERE {' AND '.join(['true', *keep])}),
+hits AS (SELECT doc_id, max(place) OVER () AS found FROM numbered{f' WHERE place <= {cap}' if cap else ''})
+SELECT p.id, p.title, p.brand, p.category, best AS best_price_cents, n_offers AS offer_count,
+       found AS hit_count, {f'found = {cap}' if cap else 'false'} AS truncated
+FROM hits JOIN products p ON p.id = doc_id JOIN priced ON product_id = doc_id
+WHERE {' AND '.join(['best IS NOT NULL', *band])}{page}"""
 
 
 def _title_postings(spark, sf_dir):
@@ -128,6 +126,9 @@ _register_search("search_all_of", se.TextQuery(all_of=["hot", "plate"]), sort="p
 _register_search("search_any_none", se.TextQuery(any_of=["ring", "widget"], none_of=["red"]),
                  category="ECONOMY", limit=100)
 _register_search("search_phrase", se.TextQuery(phrase=["small", "widget"]), limit=100)
+_register_search("search_terms_any_case", se.TextQuery(all_of=["Red", "RING"]), limit=100)
+_register_search("search_excludes_only", se.TextQuery(none_of=["red", "ring"]), limit=100, category="ECONOMY")
+_register_search("search_uncapped", se.TextQuery(any_of=["brand", "plate"]), cap=None)
 _register_search("search_filters_only", None, category="PROMO", brand="Brand#17",
                  max_price=50000, limit=100)
 

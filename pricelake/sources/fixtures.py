@@ -6,7 +6,7 @@ grows with the tables. The same definitions exist as SQL in ``pricelake.plans.or
 * ``obs``: one price observation per line item. retailer = supplier mod 8.
 * ``offers``: the latest observation per (product, retailer) by the observation order.
 * ``products`` / ``retailers``: dimensions from ``part`` / ``supplier``.
-* ``collections``: rule rows in the shape of the reference's seed, with values of the test data.
+* ``collections``: rules derived from the categories and brands of ``part``.
 * ``request_log`` / ``outcomes`` / ``change_log``: operational views over ``events``.
 """
 
@@ -87,22 +87,25 @@ def retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("active").alias("status")))
 
 
-# The six seed rules of the reference, re-pointed at categories and brands that
-# exist in the test data (p_type values, p_brand values). Slug, title, then the rule fields
-# category, brand, max_price_cents, min_offers; None means the field is absent (no filter).
-COLLECTION_SEED = [
-    ("economy-under-500", "Economy under $500", "ECONOMY", None, 50000, None),
-    ("large-kit", "Large kit", "LARGE", None, None, None),
-    ("medium-upgrades", "Medium upgrades", "MEDIUM", None, None, 3),
-    ("promo-bench", "Promo bench", "PROMO", None, None, None),
-    ("brand-17-gear", "Brand#17 gear", None, "Brand#17", None, None),
-    ("under-20000", "Everything under $20000", None, None, 2000000, 4),
-]
-
-
-def collections(spark: SparkSession) -> DataFrame:
-    rows = [(s, t, (c, b, m, n)) for s, t, c, b, m, n in COLLECTION_SEED]
-    return spark.createDataFrame(rows, COLLECTIONS)
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection rules derived from ``part``: one per category, one per brand, one over everything."""
+    part = read_table(spark, sf_dir, "part")
+    none = F.lit(None)
+
+    def rule(df: DataFrame, slug: Column, title: Column, category, brand, price, offers) -> DataFrame:
+        rules = F.struct(category.alias("category"), brand.alias("brand"), price.alias("max_price_cents"),
+                         offers.alias("min_offers")).cast(COLLECTIONS["rules"].dataType)
+        return df.select(slug.alias("slug"), title.alias("title"), rules.alias("rules"))
+
+    kind, maker = F.col("p_type"), F.col("p_brand")
+    kinds = rule(part.select("p_type").distinct(), F.concat(F.lit("kind-"), F.replace(F.lower(kind), F.lit(" "), F.lit("-"))),
+                 F.concat(F.lit("All of "), kind), kind, none, none, F.when(F.length(kind) % 2 == 0, F.lit(3)))
+    makers = rule(part.select("p_brand").distinct(), F.concat(F.lit("maker-"), F.replace(F.lower(maker), F.lit("#"), F.lit("-"))),
+                  F.concat(F.lit("Made by "), maker), none, maker, F.lit(20000) * F.length(maker), none)
+    n = part.agg(F.count_distinct("p_type").cast("string").alias("n"))
+    whole = rule(n, F.lit("often-sold"), F.concat(F.lit("Sold in "), F.col("n"), F.lit(" kinds")), none, none,
+                 F.lit(2000000), F.lit(4))
+    return kinds.unionByName(makers).unionByName(whole)
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ def test_no_nested_loop_or_cartesian(spark, name):
     if "BroadcastNestedLoopJoin" in p:
         assert name in {"similar_products", "similar_vectors", "ivf_similar_vectors", "search",
                         "search_broad_capped", "search_all_of", "search_any_none",
-                        "search_phrase", "search_filters_only", "coverage",
+                        "search_phrase", "search_filters_only", "search_terms_any_case",
+                        "search_excludes_only", "search_uncapped", "coverage",
                         "normalize_outcomes", "normalized_items", "quarantine_rows",
                         "page_dedupe", "new_products", "retailer_freshness", "feed_positions"}, name
 
