@@ -36,13 +36,13 @@ from pricelake.session import freeze
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Transformed statistics and the standard deviation below which their spread is not believed.
-FEATURES = {"word_length": 0.35, "symbols": 0.06, "dup_lines": 0.12, "repeats": 0.12}
+FEATURES = {"word_length": 0.35, "symbols": 0.06, "dup_lines": 0.5, "repeats": 0.35}
 SUPPORT = 0.75
 C_STEPS = 3
 BINS = 256
 PRIOR_ROWS = 25
 #: Rejected beyond this squared distance (far above the 0.9999 quantile of chi-square, 23.5).
-CUTOFF = 60.0
+CUTOFF = 120.0
 #: SUPPORT / P(chi2_6 <= q), q = 5.385 the SUPPORT quantile of chi2_4: makes the covariance consistent.
 CONSISTENCY = 0.75 / 0.50457
 
