@@ -14,8 +14,8 @@ is just more chunks.
 (those that some vocabulary entry starts with), the last token before each, and how many tokens ended
 there relative to now; that decides how the best segmentation goes on. A transition is annotated with
 the change of the number of tokens, so the sum along a word is its count. Of all entries that end at
-a byte exactly one follows its predecessor validly: the two tokens are what the ranked merges make of
-their joined bytes. States are compiled when first reached and shared by all words of a worker; at
+a byte exactly one follows its predecessor validly: the ranked merges of their joined bytes leave the
+two. States are compiled when first reached and shared by all words of a worker; at
 ``MAX_STATES`` the tables start afresh, so memory is bounded.
 
 Special tokens of the file that occur in a text count as one token and split it, as in the library.
@@ -39,7 +39,7 @@ from pricelake.llm.common import col
 
 LIMIT = 512
 CHUNK = 256
-MAX_STATES = 150_000
+MAX_STATES = 250_000
 #: Entries of the memo of token pairs.
 MAX_PAIRS = 1_000_000
 
@@ -167,6 +167,8 @@ class Transducer:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = map(raw, m.split(" ") if isinstance(m, str) else m)
             self.merges[a, b] = rank
+        self.made = {a + b: ((a, b), rank) for (a, b), rank in self.merges.items()}
+        self.edges: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
         self.open = {t[:k] for t in self.vocab for k in range(1, len(t))}
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -191,14 +193,49 @@ class Transducer:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def edge(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
+        """What stands at an edge of a token while its bytes are merged (side 0: left, 1: right): the
+        growing tokens, each with the rank of the merge that ends it."""
+        if (token, side) not in self.edges:
+            out, rank, t = [], float("inf"), token
+            while True:
+                out.append((t, rank))
+                if len(t) == 1:
+                    break
+                pair, rank = self.made[t]
+                t = pair[side]
+            self.edges[token, side] = out[::-1]
+        return self.edges[token, side]
+
     def follows(self, last: bytes | None, token: bytes) -> bool:
-        """Whether ``token`` may stand after ``last`` (None: at the start of a word)."""
+        """Whether ``token`` may stand after ``last`` (None: at the start of a word): whether the merges
+        of their joined bytes leave the two. Merges run in the order of rank, since a merged token
+        ranks after its parts; so it is enough to follow the pair at the border through the merges on
+        both sides. It joins if its rank comes before the next merge of either side; of equal ranks
+        the pair further left is first."""
         key = (last, token)
-        if key not in self.valid_memo:
-            if len(self.valid_memo) >= MAX_PAIRS:
-                self.valid_memo.clear()
-            self.valid_memo[key] = (self.merged((last or b"") + token) == ([token] if last is None else [last, token]))
-        return self.valid_memo[key]
+        if key in self.valid_memo:
+            return self.valid_memo[key]
+        if len(self.valid_memo) >= MAX_PAIRS:
+            self.valid_memo.clear()
+        if last is None:
+            ok = self.merged(token) == [token]
+        else:
+            left, right, i, j = self.edge(last, 1), self.edge(token, 0), 0, 0
+            ok = self.follows(None, token)
+            while ok:
+                (x, r), (y, s) = left[i], right[j]
+                rank = self.merges.get((x, y), float("inf"))
+                if rank < r and rank <= s:
+                    ok = False
+                elif i + 1 == len(left) and j + 1 == len(right):
+                    break
+                elif r <= s:
+                    i += 1
+                else:
+                    j += 1
+        self.valid_memo[key] = ok
+        return ok
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
         suffix, opened = self.keys[state]
