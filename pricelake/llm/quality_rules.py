@@ -4,8 +4,10 @@
 ``[^\\x20\\x09-\\x0D]+``; the repeated three-word windows of a document are found by sorting its
 (window hash, position) structs and looking at neighbours, so a document costs n log n.
 
-*Minimum covariance determinant.* The statistics become a vector of ``FEATURES`` (mean word length
-and variance-stabilised shares of symbols, repeated lines and repeated words). For each (language,
+*Minimum covariance determinant.* The statistics become a vector of ``FEATURES``: mean word length,
+a variance-stabilised share of symbols, and for repeated lines and repeated words the standard
+deviations above none. One repeated header is at most about one and three of them and stays at any
+length; half of the words of 100, or ten lines of 40, are beyond the cutoff alone. For each (language,
 source) a start (histogram median and interquartile range) is refined by ``C_STEPS`` concentration
 steps: all rows get their Mahalanobis distance under the current estimate, the rows of the group
 with the smallest distances (at least ``SUPPORT`` of them) give the next mean and covariance.
@@ -35,20 +37,26 @@ from pricelake.session import freeze
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Transformed statistics and the standard deviation below which their spread is not believed.
-FEATURES = {"word_length": 0.35, "symbols": 0.06, "dup_lines": 0.5, "repeats": 0.35}
+#: Transformed statistics and their measurement noise, below which no spread is believed: 2.5 characters
+#: a word over MIN_WORDS words, half a root of a symbol count over some 120 words, and one of a z-score.
+FEATURES = {"word_length": 0.35, "symbols": 0.045, "dup_lines": 1.0, "repeats": 1.0}
+#: Words of the smallest repetition (a three-word window written twice), the unit of ``repeats``.
+REPEAT_UNIT = 6
+#: Lines, or units of words, beyond which a text counts by its share and not by its number of repeats.
+SATURATION = 200
 SUPPORT = 0.75
 C_STEPS = 3
 BINS = 256
 PRIOR_ROWS = 25
-#: Rejected beyond this squared distance (far above the 0.9999 quantile of chi-square, 23.5).
-CUTOFF = 120.0
+#: Rejected beyond this squared distance, the 0.9999 quantile of chi-square with 4 degrees of freedom.
+CUTOFF = 23.513
 #: SUPPORT / P(chi2_6 <= q), q = 5.385 the SUPPORT quantile of chi2_4: makes the covariance consistent.
 CONSISTENCY = 0.75 / 0.50457
 
 _F = list(FEATURES)
 _P = len(_F)
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_MEASURED = [*_STATS, "n_lines"]
 
 
 def _let(value: Column, body) -> Column:
@@ -77,16 +85,17 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of a text."""
     t = F.coalesce(text.cast("string"), F.lit(""))
     sep = r"[^\x20\x09-\x0D]"
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(sep))
-    return _let(F.regexp_extract_all(t, F.lit(f"{sep}+"), F.lit(0)), lambda w: F.struct(
+    return _let(F.regexp_extract_all(t, F.lit(f"{sep}+"), F.lit(0)), lambda w: _let(lines, lambda x: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        _repeat_words(w).alias("n_repeat_words")))
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(w).alias("n_repeat_words"),
+        F.size(x).cast("long").alias("n_lines"))))
 
 
 def _base_failed() -> Column:
@@ -94,13 +103,20 @@ def _base_failed() -> Column:
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def _above_none(k: Column, n: Column) -> Column:
+    """How far ``k`` of ``n`` is above none, in standard deviations of a binomial share (Anscombe's
+    angles); the number of trials saturates at ``SATURATION``, so long texts are compared by share."""
+    angle = lambda k: F.asin(F.sqrt(F.least((k + 0.375) / (n + 0.75), F.lit(1.0))))
+    return 2 * F.sqrt(n * SATURATION / (n + SATURATION)) * (angle(k) - angle(F.lit(0.0)))
+
+
 def _vector() -> dict[str, Column]:
     """The transformed statistics; words are at least one here."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {"word_length": F.col("word_chars") / n,
             "symbols": F.asinh(4 * F.sqrt(F.col("n_symbols") / n)) / 4,
-            "dup_lines": F.sqrt(F.col("n_dup_lines") / F.sqrt(n)),
-            "repeats": F.asin(F.sqrt(F.least(F.col("n_repeat_words") / n, F.lit(1.0))))}
+            "dup_lines": _above_none(F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1)).cast("double")),
+            "repeats": _above_none(F.col("n_repeat_words") / REPEAT_UNIT, n / REPEAT_UNIT)}
 
 
 def described(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -108,7 +124,7 @@ def described(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     """Statistics, base verdict and transformed vector of every row, beside the columns ``keep``."""
     rows = docs.select(*keep, col(lang).alias("g_lang"), col(source).alias("g_source"),
                        statistics(col(text)).alias("s"))
-    rows = rows.select(*[c for c in rows.columns if c != "s"], *[F.col(f"s.{k}").alias(k) for k in _STATS])
+    rows = rows.select(*[c for c in rows.columns if c != "s"], *[F.col(f"s.{k}").alias(k) for k in _MEASURED])
     return rows.withColumn("base_failed", _base_failed()).withColumns(_vector())
 
 
@@ -175,8 +191,8 @@ def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
         v = F.col(f"c{i}{j}")
         for k in range(j):
             v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        # no spread below a third of the floor after conditioning on the others
-        least = FEATURES[_F[i]] ** 2 / 9
+        # no spread below the noise after conditioning on the others
+        least = FEATURES[_F[i]] ** 2
         s = s.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(least))) if i == j else v / F.col(f"l{j}{j}"))
     return s.select("g_lang", "g_source", *_params())
 

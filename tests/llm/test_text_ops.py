@@ -63,6 +63,20 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert not any(rows[81 + i]["kept"] or rows[81 + i]["base_failed"] for i in range(12))
 
 
+def test_each_repetition_rejects_alone_and_a_header_does_not(spark):
+    rng = random.Random(4)
+    prose = lambda n: ["".join(rng.choices("etaoin", k=rng.randint(2, 8))) for _ in range(n)]
+    lined = lambda w, k: "\n".join(" ".join(w[i:i + k]) for i in range(0, len(w), k))
+    good = [lined(prose(rng.randint(60, 400)), 10) for _ in range(120)]
+    header = " ".join(prose(13))
+    headed = [f"{header}\n{lined(prose(n), 10)}\n{header}" for n in (40, 60, 100, 200, 380)]
+    words_ = [" ".join((w := prose(n // 4)) + w + prose(n - 2 * (n // 4))) for n in (100, 200, 400)]    # half of the words
+    lines = ["\n".join(["et", "on"] * 6 + [" ".join(prose(10)) for _ in range(30)]) for _ in range(3)]    # ten of 42 lines
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, good + headed + words_ + lines)).collect()}
+    assert all(rows[i + 1]["kept"] for i in range(125))
+    assert not any(rows[126 + i]["kept"] or rows[126 + i]["base_failed"] for i in range(6))
+
+
 def test_rules_keep_rows_and_columns(spark):
     d = docs(spark, ODD + ["word " * 10]).withColumn("kept", F.lit("x")).withColumn("m0", F.lit(1)).withColumn("lang", F.lit(None).cast("string"))
     long = docs(spark, [" ".join(f"w{i}" for i in range(80))]).withColumn("kept", F.lit("x")).withColumn("m0", F.lit(1))
