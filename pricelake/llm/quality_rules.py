@@ -8,17 +8,21 @@
 a variance-stabilised share of symbols, and for repeated lines and repeated words the standard
 deviations above none. One repeated header is at most about one and three of them and stays at any
 length; half of the words of 100, or ten lines of 40, are beyond the cutoff alone. For each (language,
-source) a start (histogram median and interquartile range) is refined by ``C_STEPS`` concentration
-steps: all rows get their Mahalanobis distance under the current estimate, the rows of the group
-with the smallest distances (at least ``SUPPORT`` of them) give the next mean and covariance.
-One step is one aggregate by (language, source, distance bin): counts and moments per bin are
-reduced map-side, so a source with a third of all rows sends at most ``BINS`` rows per task, and
+source) three starts (the quartiles of each coordinate as centre, each with the median absolute
+deviation, all from histograms) are refined by concentration steps: all rows get their Mahalanobis
+distance under the current estimate, the rows of the group with the smallest distances (at least
+``SUPPORT`` of them) give the next mean and covariance. The steps end when no estimate of any group
+moves by more than ``TOLERANCE``, or after ``MAX_STEPS`` (the support is cut at a bin, so two estimates
+can alternate). Of the three the one of least determinant stays, and is reweighted: the rows within the
+0.975 quantile of chi-square give the final mean and covariance. Up to half of a group can be outliers.
+One step is one aggregate by (language, source, start, distance bin): counts and moments per bin are
+reduced map-side, so a source with a third of all rows sends at most 3 x ``BINS`` rows per task, and
 the support is cut at the bin where the running count reaches its share. Every row takes part in
 every step. ``PRIOR_ROWS`` rows of the variance floor are blended into each covariance, so constant
 statistics and groups of a few rows stay regular. A row is rejected when its squared distance
 exceeds ``CUTOFF``.
 
-The parameter table has one row per (language, source). It is joined without a hint: AQE broadcasts
+The parameter table has one row per (language, source), three during the steps. It is joined without a hint: AQE broadcasts
 it when it is small and splits a skewed source when it is not.
 
 Defined results: null text counts as empty (all statistics 0, base_failed); null language or source
@@ -44,14 +48,20 @@ FEATURES = {"word_length": 0.35, "symbols": 0.045, "dup_lines": 1.0, "repeats":
 REPEAT_UNIT = 6
 #: Lines, or units of words, beyond which a text counts by its share and not by its number of repeats.
 SATURATION = 200
-SUPPORT = 0.75
-C_STEPS = 3
+SUPPORT = 0.5
+#: Shares of the rows below the centres of the starts; the first wins ties.
+CENTRES = (0.5, 0.25, 0.75)
+MAX_STEPS = 20
+#: Largest change of a converged estimate: of a mean in its noise, of the logarithm of the determinant.
+TOLERANCE = 1e-3
 BINS = 256
 PRIOR_ROWS = 25
 #: Rejected beyond this squared distance, the 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.513
-#: SUPPORT / P(chi2_6 <= q), q = 5.385 the SUPPORT quantile of chi2_4: makes the covariance consistent.
-CONSISTENCY = 0.75 / 0.50457
+#: Share / P(chi2_6 <= q), q the quantile of chi2_4 at the share: makes the covariance of the closest
+#: rows consistent. For SUPPORT q = 3.35669; for the reweighting q = 11.14329 at a share of 0.975.
+CONSISTENCY = 2.10906
+REWEIGHTED, REWEIGHTED_CONSISTENCY = 11.14329, 1.06447
 
 _F = list(FEATURES)
 _P = len(_F)
@@ -129,22 +139,29 @@ def described(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and spread of each coordinate per group, from histograms of a quarter of the floor."""
+    """The starts of each group: quartiles and median absolute deviation of each coordinate, from
+    histograms of a quarter of the floor."""
     step = F.element_at(F.array(*[F.lit(FEATURES[f] / 4) for f in _F]), F.col("k") + 1)
     each = rows.select("g_lang", "g_source", F.posexplode(F.array(*_F)).alias("k", "x"))
     bins = (each.withColumn("bin", F.floor(F.col("x") / step)).groupBy("g_lang", "g_source", "k", "bin")
-            .agg(F.count("*").alias("n"), F.first(step).alias("step")))
+            .agg(F.count("*").alias("n")).withColumn("at", (F.col("bin") + 0.5) * step))
     w = Window.partitionBy("g_lang", "g_source", "k")
     run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    q = [F.min(F.when(F.col("upto") >= p * F.col("all"), (F.col("bin") + 0.5) * F.col("step"))) for p in (0.25, 0.5, 0.75)]
-    per = run.groupBy("g_lang", "g_source", "k").agg(q[1].alias("m"), ((q[2] - q[0]) / 1.349).alias("s"))
+    centre = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("at")))
+    run = run.withColumn("off", F.abs(F.col("at") - centre(0.5).over(w)))
+    run = run.withColumn("within", F.sum("n").over(w.orderBy("off")))
+    per = run.groupBy("g_lang", "g_source", "k").agg(
+        F.array(*[centre(p) for p in CENTRES]).alias("m"),
+        (F.min(F.when(F.col("within") >= 0.5 * F.col("all"), F.col("off"))) * 1.4826).alias("s"))
     pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     out = per.groupBy("g_lang", "g_source").agg(
-        *[pick("m", k).alias(f"m{k}") for k in range(_P)], *[pick("s", k).alias(f"s{k}") for k in range(_P)])
+        *[pick("m", k).alias(f"centres{k}") for k in range(_P)], *[pick("s", k).alias(f"s{k}") for k in range(_P)])
+    out = out.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(len(CENTRES))])))
     for i, f in enumerate(_F):
+        out = out.withColumn(f"m{i}", F.get(f"centres{i}", F.col("start")))
         for j in range(i + 1):
             out = out.withColumn(f"l{i}{j}", F.greatest(F.col(f"s{i}"), F.lit(FEATURES[f])) if i == j else F.lit(0.0))
-    return out.select("g_lang", "g_source", *_params())
+    return out.select("g_lang", "g_source", "start", *_params())
 
 
 def _params() -> list[str]:
@@ -153,8 +170,9 @@ def _params() -> list[str]:
 
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Adds ``distance``: the squared Mahalanobis distance, by forward substitution with the
-    Cholesky factor of the row's group (null where the group has no estimate)."""
-    p = params.select(F.col("g_lang").alias("p_lang"), F.col("g_source").alias("p_source"), *_params())
+    Cholesky factor of the row's group (null where the group has no estimate); with several starts
+    a group, one row for each."""
+    p = params.withColumnsRenamed({"g_lang": "p_lang", "g_source": "p_source"})
     out = rows.join(p, F.col("g_lang").eqNullSafe(F.col("p_lang")) & F.col("g_source").eqNullSafe(F.col("p_source")), "left")
     for i, f in enumerate(_F):
         z = F.col(f) - F.col(f"m{i}")
@@ -165,45 +183,73 @@ def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
             .drop("p_lang", "p_source", *_params(), *[f"z{i}" for i in range(_P)]))
 
 
-def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: the mean and Cholesky factor of the closest rows of each group."""
-    pairs = [(i, j) for i in range(_P) for j in range(i + 1)]
-    # bins of the distance by its logarithm: 2**-8 to 2**24, eight to the octave
-    bin_ = F.least(F.greatest(F.floor(8 * F.log2(F.col("distance") + 2.0 ** -8)) + 64, F.lit(0)), F.lit(BINS - 1))
-    bins = (_with_distance(rows, params).withColumn("bin", bin_).groupBy("g_lang", "g_source", "bin")
-            .agg(F.count("*").alias("n"), *[F.sum(f).alias(f"a{i}") for i, f in enumerate(_F)],
-                 *[F.sum(F.col(_F[i]) * F.col(_F[j])).alias(f"b{i}{j}") for i, j in pairs]))
-    w = Window.partitionBy("g_lang", "g_source")
-    cut = (bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n"))
-           .withColumn("all", F.sum("n").over(w)).where(F.col("before") < SUPPORT * F.col("all")))
-    s = cut.groupBy("g_lang", "g_source").agg(
-        F.sum("n").alias("n"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(_P)],
-        *[F.sum(f"b{i}{j}").alias(f"b{i}{j}") for i, j in pairs])
+_PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(f).alias(f"a{i}") for i, f in enumerate(_F)],
+            *[F.sum(F.col(_F[i]) * F.col(_F[j])).alias(f"b{i}{j}") for i, j in _PAIRS]]
+
+
+def _estimate(s: DataFrame, keys: list[str], consistency: float) -> DataFrame:
+    """Mean and Cholesky factor from moments."""
     s = s.withColumns({f"m{i}": F.col(f"a{i}") / F.col("n") for i in range(_P)})
     cov = {}
-    for i, j in pairs:
-        c = (F.col(f"b{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY * F.col("n")
+    for i, j in _PAIRS:
+        c = (F.col(f"b{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency * F.col("n")
         if i == j:
             c = F.greatest(c, F.lit(0.0)) + PRIOR_ROWS * FEATURES[_F[i]] ** 2
         cov[f"c{i}{j}"] = c / (F.col("n") + PRIOR_ROWS)
     s = s.withColumns(cov)
-    for i, j in pairs:  # Cholesky, row by row
+    for i, j in _PAIRS:  # Cholesky, row by row
         v = F.col(f"c{i}{j}")
         for k in range(j):
             v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         # no spread below the noise after conditioning on the others
         least = FEATURES[_F[i]] ** 2
         s = s.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(least))) if i == j else v / F.col(f"l{j}{j}"))
-    return s.select("g_lang", "g_source", *_params())
+    return s.select(*keys, *_params())
+
+
+def _concentrate(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step: the mean and Cholesky factor of the closest rows of each group and start."""
+    keys = ["g_lang", "g_source", "start"]
+    # bins of the distance by its logarithm: 2**-8 to 2**24, eight to the octave
+    bin_ = F.least(F.greatest(F.floor(8 * F.log2(F.col("distance") + 2.0 ** -8)) + 64, F.lit(0)), F.lit(BINS - 1))
+    bins = _with_distance(rows, params).withColumn("bin", bin_).groupBy(*keys, "bin").agg(*_moments())
+    w = Window.partitionBy(*keys)
+    cut = (bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n"))
+           .withColumn("all", F.sum("n").over(w)).where(F.col("before") < SUPPORT * F.col("all")))
+    sums = ["n", *[f"a{i}" for i in range(_P)], *[f"b{i}{j}" for i, j in _PAIRS]]
+    return _estimate(cut.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]), keys, CONSISTENCY)
+
+
+def _log_det(at: str = "") -> Column:
+    return sum((2 * F.log(f"{at}l{i}{i}") for i in range(1, _P)), 2 * F.log(f"{at}l00"))
+
+
+def _moved(now: DataFrame, before: DataFrame) -> bool:
+    """Whether the estimate of any group and start has changed."""
+    both = now.alias("x").join(before.alias("y"), F.col("x.g_lang").eqNullSafe(F.col("y.g_lang"))
+                               & F.col("x.g_source").eqNullSafe(F.col("y.g_source")) & (F.col("x.start") == F.col("y.start")))
+    change = F.greatest(F.abs(_log_det("x.") - _log_det("y.")),
+                        *[F.abs(F.col(f"x.m{i}") - F.col(f"y.m{i}")) / FEATURES[f] for i, f in enumerate(_F)])
+    return not both.where(change > TOLERANCE).isEmpty()
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Mean and Cholesky factor per (language, source) from rows that pass the base rules."""
     good = rows.where(~F.col("base_failed"))
     params = freeze(_start(good), "mcd")
-    for _ in range(C_STEPS):
-        params = freeze(_concentrate(good, params), "mcd")
-    return params
+    for _ in range(MAX_STEPS):
+        before, params = params, freeze(_concentrate(good, params), "mcd")
+        if not _moved(params, before):
+            break
+    keys = ["g_lang", "g_source"]
+    best = params.groupBy(*keys).agg(F.min(F.struct(_log_det().alias("det"), "start", *_params())).alias("p"))
+    best = best.select(*keys, *[F.col(f"p.{c}").alias(c) for c in _params()])
+    near = _with_distance(good, best).where(F.col("distance") <= REWEIGHTED).groupBy(*keys).agg(*_moments())
+    return freeze(_estimate(near, keys, REWEIGHTED_CONSISTENCY), "mcd")
 
 
 def _verdict() -> Column:

@@ -77,6 +77,17 @@ def test_each_repetition_rejects_alone_and_a_header_does_not(spark):
     assert not any(rows[126 + i]["kept"] or rows[126 + i]["base_failed"] for i in range(6))
 
 
+def test_two_fifths_of_a_source_can_be_outliers(spark):
+    rng = random.Random(5)
+    prose = lambda n: ["".join(rng.choices("etaoin", k=rng.randint(2, 8))) for _ in range(n)]
+    good = [" ".join(prose(rng.randint(60, 400))) for _ in range(120)]
+    signs = [" ".join(w + "*" * rng.randint(0, 1) for w in prose(rng.randint(60, 400))) for _ in range(50)]
+    long = [" ".join(w + w for w in prose(rng.randint(60, 400))) for _ in range(40)]
+    rows = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, good + signs + long)).collect()}
+    assert all(rows[i + 1]["kept"] for i in range(120))
+    assert not any(rows[121 + i]["kept"] or rows[121 + i]["base_failed"] for i in range(90))
+
+
 def test_rules_keep_rows_and_columns(spark):
     d = docs(spark, ODD + ["word " * 10]).withColumn("kept", F.lit("x")).withColumn("m0", F.lit(1)).withColumn("lang", F.lit(None).cast("string"))
     long = docs(spark, [" ".join(f"w{i}" for i in range(80))]).withColumn("kept", F.lit("x")).withColumn("m0", F.lit(1))
