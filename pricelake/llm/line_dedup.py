@@ -1,9 +1,13 @@
 """Line dedup: overlapping windows of three lines, repeated anywhere in the corpus.
 
 *Lines.* A text is split at ``\\n``; blank lines are left alone and skipped. A line of more than
-``WRAP`` words counts as several lines of ``WRAP`` words (as if wrapped), so a passage of over
-2 x ``WRAP`` words is a window of its own even where it stands on one physical line. Lines are
-compared by their words, so white space does not matter.
+``WRAP`` words counts as several lines (as if wrapped): it is broken before every word whose hash,
+taken with the word before, is the least among ``REACH`` words on either side, and after ``WRAP``
+words without such a place. The breaks follow the words and not their distance from the start of
+the line, so a passage inside a longer line is cut into the same pieces at any offset, but for the
+pieces at its ends. A piece has about 11 words; a passage of three whole pieces is a window of its
+own, as is a line of over 2 x ``WRAP`` words. Lines are compared by their words, so white space does
+not matter.
 
 *Windows.* Every three consecutive lines are hashed to 128 bits. A window that occurs more than
 once keeps its first occurrence, by (doc_id, text hash, position); the positions covered by all
@@ -23,6 +27,7 @@ first in the order; extra columns are kept; an empty table gives an empty result
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,8 +37,22 @@ from pricelake.llm.common import col, fresh, utf8
 from pricelake.session import freeze
 
 WINDOW = 3
-#: Words after which a long line is wrapped.
+#: Words above which a line is wrapped, and of the longest piece.
 WRAP = 24
+#: Words on either side among which a break has the least hash (``_breaks`` is written for five).
+REACH = 5
+
+
+def _breaks(words: list[bytes]) -> list[int]:
+    """Places before which a long line is broken: the least hash, the first of equal ones, within reach."""
+    h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), ">u8").astype(np.uint64)
+    h[1:] = (h[1:] ^ (h[:-1] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+    edge = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
+    two = np.minimum((p := np.concatenate([edge, h, edge]))[:-1], p[1:])
+    four = np.minimum(two[:-2], two[2:])
+    five = np.minimum(four[:-1], p[4:])
+    n = len(h)
+    return np.flatnonzero((h < five[:n]) & (h <= five[REACH + 1:REACH + 1 + n])).tolist()
 
 
 def _lines(text: bytes) -> list[tuple[int, list[bytes]]]:
@@ -41,17 +60,18 @@ def _lines(text: bytes) -> list[tuple[int, list[bytes]]]:
     out = []
     for k, line in enumerate(text.split(b"\n")):
         words = line.split()
-        out.extend((k, words[i:i + WRAP]) for i in range(0, len(words), WRAP))
+        if len(words) <= WRAP:
+            out.extend([(k, words)] if words else [])
+            continue
+        ends = [0, *[b for b in _breaks(words) if b], len(words)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            out.extend((k, words[i:min(i + WRAP, b)]) for i in range(a, b, WRAP))
     return out
 
 
-def _window_hashes(text: bytes) -> list[tuple[int, int]]:
+def _window_hashes(text: bytes) -> list[bytes]:
     each = [xxhash.xxh3_128_digest(b" ".join(w)) for _, w in _lines(text)]
-    out = []
-    for i in range(len(each) - WINDOW + 1):
-        h = xxhash.xxh3_128_intdigest(b"".join(each[i:i + WINDOW]))
-        out.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
-    return out
+    return [xxhash.xxh3_128_digest(b"".join(each[i:i + WINDOW])) for i in range(len(each) - WINDOW + 1)]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -60,11 +80,11 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
 
-_WINDOWS = pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())]))
-
-
 def _windows(texts: pa.Array) -> pa.Array:
-    return pa.array([[{"h1": a, "h2": b} for a, b in _window_hashes(t)] for t in _texts(texts)], _WINDOWS)
+    each = [_window_hashes(t) for t in _texts(texts)]
+    h = np.frombuffer(b"".join([b"".join(w) for w in each]), np.int64).reshape(-1, 2)
+    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(h[:, k].copy()) for k in (0, 1)], ["h1", "h2"]))
 
 
 def _without(text: bytes, covered: set[int]) -> bytes:

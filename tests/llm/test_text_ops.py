@@ -122,6 +122,28 @@ def test_long_passage_on_one_line(spark):
     assert got == [texts[0], "other intro\nother end", texts[2]]
 
 
+def test_breaks_against_plain_code():
+    rng = random.Random(6)
+    for _ in range(200):
+        w = [b"%d" % rng.randint(0, rng.choice([1, 9, 999])) for _ in range(rng.randint(25, 90))]
+        h = [xxhash.xxh3_64_intdigest(x) for x in w]
+        h = [h[0]] + [((b ^ a >> 7) * 0x9E3779B97F4A7C15) % 2**64 for a, b in zip(h[:-1], h[1:])]
+        want = [i for i, x in enumerate(h) if all(x < y for y in h[max(0, i - 5):i]) and all(x <= y for y in h[i + 1:i + 6])]
+        assert line_dedup._breaks(w) == want
+        pieces = [p for _, p in line_dedup._lines(b" ".join(w))]
+        assert sum(pieces, []) == w and max(map(len, pieces)) <= line_dedup.WRAP
+
+
+def test_long_passage_at_any_offset_of_a_line(spark):
+    passage = " ".join(f"p{i}" for i in range(90))
+    texts = ["start " + passage + " end"] + [" ".join(f"a{n}b{i}" for i in range(n)) + " " + passage + f" tail{n} of it" for n in range(1, 24)]
+    got = [r["text"] for r in line_dedup.deduped_documents(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == texts[0]
+    for text, cut in zip(texts[1:], got[1:], strict=True):
+        left, own = cut.split(), [w for w in text.split() if w[0] != "p"]
+        assert [w for w in left if w[0] != "p"] == own and sum(w[0] == "p" for w in left) < 45
+
+
 def test_line_dedup_edges(spark):
     same = docs(spark, [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (None, "x\ny\nz"), (2, "x\ny\nz")])
     out = line_dedup.deduped_documents(same)
