@@ -220,7 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # at most TRAIN_ROWS ids, so the hint has a proven bound
     rows = (docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("t"))
             .join(F.broadcast(ids), "id")
-            .select("id", "y", "apart", features("t").alias("x")).toPandas())
+            .select("id", "y", "apart", features("t").alias("x"))
+            # one row per label, however many rows share the id
+            .groupBy("id", "y", "apart").agg(F.min("x").alias("x")).toPandas())
     rows = rows.sort_values(["id", "y", "x"], kind="stable")
     x = (np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1).astype(np.float64)
          if len(rows) else np.zeros((0, 2 * DIMS + 2)))

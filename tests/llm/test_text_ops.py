@@ -43,6 +43,16 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert np.allclose(a, b)
 
 
+def test_rows_of_a_labelled_id_are_fitted_once(spark, monkeypatch):
+    seen = []
+    fitted = quality_classifier.fit_network
+    monkeypatch.setattr(quality_classifier, "fit_network", lambda x, *a: seen.append(len(x)) or fitted(x, *a))
+    ids = [r["i"] for r in spark.range(1, 40).select(F.col("id").alias("i"), quality_classifier.held_out(F.col("id")).alias("h")).collect() if not r["h"]][:4]
+    d = docs(spark, [(i, f"text {i} of row {k}") for i in ids for k in range(5)])
+    quality_classifier.fit(d, spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int"))
+    assert seen == [4]
+
+
 def test_base_statistics(spark):
     rng = random.Random(1)
     texts = ODD + [" ".join(rng.choices("ab", k=rng.randint(1, 40))).replace("a b", "a\nb") for _ in range(60)]
