@@ -17,6 +17,8 @@ from pricelake.session import apply_engine_conf, checkpoint_dir
 
 #: Rows of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch (one row may be longer).
+BATCH_BYTES = 32 << 20
 #: Bytes of text that the hashing helper holds at once (one document may be longer).
 CHUNK_BYTES = 1 << 19
 
@@ -26,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     apply_engine_conf(spark)
     checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -4,13 +4,16 @@ and DuckDB SQL where SQL can express the rows."""
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts
+from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, warc
 from pricelake.llm.common import prepare, table
+from pricelake.session import scratch_path
 
 #: Folder of the tokenizer files; every operator takes the path as a parameter.
 TOKENIZERS = public_tokenizers.path("")
@@ -101,3 +104,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.95."""
     prepare(spark)
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@_query("op12_warc_bundles", warc.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records into seekable bundles, and read back through the index."""
+    prepare(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
+    return warc.read(index).select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                   F.col("refers_to").cast("bigint").alias("refers_to"))
