@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, simhash_dedup, token_counts, warc
+from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, ranked_search, simhash_dedup, token_counts, warc
 from pricelake.llm.common import prepare, table
 from pricelake.session import scratch_path
 
@@ -113,3 +113,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
     return warc.read(index).select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                                    F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@_query("op13_ranked_search", ranked_search.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    prepare(spark)
+    return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
