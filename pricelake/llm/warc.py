@@ -49,6 +49,9 @@ MIN_REVISIT = 100
 #: Uncompressed bytes and records of a frame, compressed bytes of a bundle.
 FRAME_BYTES, FRAME_RECORDS, BUNDLE_BYTES = 1 << 20, 256, 256 << 20
 
+#: Bytes of records that one task reads.
+READ_BYTES = 64 << 20
+
 # Fixed values of the Zstandard seekable format and of the WARC revisit profile.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -222,8 +225,11 @@ def write(rows: DataFrame, folder: str, id: str = "page_id", url: str = "url", p
 
 
 def read(index: DataFrame) -> DataFrame:
-    """The records of the index rows, read from their bundles (``RECORD``)."""
-    return (index.select("bundle", "frame", "offset", "length").repartition("bundle", "frame")
+    """The records of the index rows, read from their bundles (``RECORD``). The index is small beside
+    the records, so the number of tasks follows the bytes of these."""
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // READ_BYTES)
+    return (index.select("bundle", "frame", "offset", "length").repartition(tasks, "bundle", "frame")
             .sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_reader, RECORD))
 
 
