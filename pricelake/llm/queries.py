@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, ranked_search, simhash_dedup, token_counts, warc
+from pricelake.llm import byte_bpe, chat_format, collocations, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules, ranked_search, simhash_dedup, token_counts, warc
 from pricelake.llm.common import prepare, table
 from pricelake.session import scratch_path
 
@@ -120,3 +120,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     prepare(spark)
     return ranked_search.search(ranked_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op11_phrase_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language of all documents."""
+    prepare(spark)
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, top=2000)
