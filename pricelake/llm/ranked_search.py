@@ -10,9 +10,9 @@ other levels follow from them and are rebuilt when a block is loaded.
 
 *Search.* The terms of an item are rows of the grid. Their paths descend together over ranges of
 documents: a range has, for every term, the cell where the term's row meets the range, and the sum of
-weight times maximum over these cells bounds the score of each document in it. A heap gives the range
-of the best bound, which is halved ``FAN`` times at once; single documents have exact scores.
-The descent ends when no bound reaches the item's k-th best score, which a task carries from
+weight times maximum over these cells bounds the score of each document in it. The ranges of the best
+bounds, up to ``RANGES`` of a level, are halved ``FAN`` times together; single documents have exact
+scores. The descent ends when no bound reaches the item's k-th best score, which a task carries from
 block to block. Each task returns k documents an item, and a ranking window joins them.
 
 *Plan.* One pass over the texts counts terms (two sums), a second one builds the blocks; no posting is
@@ -28,7 +28,6 @@ the text are ranked apart; a text of any length is read whole; empty tables give
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -47,9 +46,12 @@ from pricelake.session import freeze
 BLOCK_DOCS, BLOCK_BYTES = 4096, 8 << 20
 #: Levels that a range of documents is halved at once.
 FAN = 4
+#: Ranges that are taken from the best ones at once.
+RANGES = 32
 #: Items and terms of a batch.
 ITEMS, ITEM_TERMS = 1000, 1 << 18
 
+_SIDES = np.arange(2, dtype=np.int32)[None, :, None]
 _BYTES = np.arange(256)
 #: Bytes of terms: digits, letters and all bytes of characters outside ASCII.
 IN_TERM = (_BYTES >= 128) | np.isin(_BYTES, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
@@ -159,23 +161,33 @@ class Treap:
         return cell
 
     def top(self, rows: np.ndarray, weights: np.ndarray, cells: np.ndarray, k: int, best: list[tuple], ids: list) -> None:
-        """Merge the k best documents of this block into ``best``, pairs (-score, null id, id) in order."""
+        """Merge the k best documents of this block into ``best``, triples (-score, null id, id) in order."""
         start = self.height - self.column_bits
-        heap = [(-int(self.best[start][cells] @ weights), start, 0, cells)]
-        while heap:
-            bound, level, range_, now = heapq.heappop(heap)
-            if len(best) == k and bound > best[-1][0]:
+        turns = [2 * ((rows >> (self.height - 1 - deep)) & 1) for deep in range(start, self.height)]
+        cells = cells.astype(np.int32)[None, :]
+        waiting = {start: (self.best[start].take(cells) @ weights, np.zeros(1, np.int64), cells)}
+        while waiting:
+            level = max(waiting, key=lambda x: (waiting[x][0].max(), x))
+            bound, at, now = waiting.pop(level)
+            least = max(1, -best[-1][0]) if len(best) == k else 1
+            order = np.argsort(-bound, kind="stable")
+            order = order[:np.searchsorted(-bound[order], -least, "right")]
+            if not len(order):
                 return
-            now, at, to = now[None, :], np.array([range_]), min(level + FAN, self.height)
+            if len(order) > RANGES:
+                rest = order[RANGES:]
+                waiting[level] = bound[rest], at[rest], now[rest]
+            at, now, to = at[order[:RANGES]], now[order[:RANGES]], min(level + FAN, self.height)
             for deep in range(level, to):
-                down = 4 * now + 2 * ((rows >> (self.height - 1 - deep)) & 1)
-                now = np.stack([self.child[deep][down], self.child[deep][down + 1]], 1).reshape(-1, len(rows))
-                at = np.stack([2 * at, 2 * at + 1], 1).reshape(-1)
-            score = self.best[to][now] @ weights
-            worth = np.flatnonzero(score >= (max(1, -best[-1][0]) if len(best) == k else 1))
+                down = 4 * now + turns[deep - start].astype(np.int32)
+                now = self.child[deep].take(down[:, None, :] + _SIDES).reshape(-1, len(rows))
+                at = (2 * at[:, None] + np.arange(2)).reshape(-1)
+            score = self.best[to].take(now) @ weights
+            worth = np.flatnonzero(score >= least)
             if to < self.height:
-                for i in worth:
-                    heapq.heappush(heap, (-int(score[i]), to, int(at[i]), now[i]))
+                if len(worth):
+                    found = score[worth], at[worth], now[worth]
+                    waiting[to] = tuple(np.concatenate(x) for x in zip(waiting[to], found, strict=True)) if to in waiting else found
                 continue
             for i in worth[np.argsort(-score[worth], kind="stable")]:
                 id_ = ids[at[i]]
@@ -184,6 +196,8 @@ class Treap:
                     best.append(found)
                     best.sort()
                     del best[k:]
+                elif found[0] > best[-1][0]:
+                    break
 
 
 def _builder(n_docs: int, n_terms: int, kinds: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
