@@ -229,3 +229,65 @@ def q_feed_positions(spark, sf_dir):
     return pages.groupBy("retailer_id").agg(
         F.max("page").alias("last_page"), F.max_by("items", "page").alias("last_items"),
         F.count(F.lit(1)).alias("pages"))
+
+
+# --- two-phase sync over the page log -----------------------------------------------------------
+
+SYNC_SQL = """WITH RECURSIVE o AS (
+  SELECT 'r' || lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') AS retailer, CAST(o_orderkey AS BIGINT) AS arrival,
+         CAST(round_even(o_totalprice * 100, 0) AS BIGINT) % 61 AS z FROM orders
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY arrival) AS seq FROM o
+), p AS (
+  SELECT *, (seq - 1) % 29 AS j, (seq - 1) // 29 AS c, (seq - 1) % 29 <= 7 AND z <> 11 AS cat FROM n
+), q AS (
+  SELECT *, j - CASE WHEN z = 5 AND j > 0 THEN 1 ELSE 0 END + CASE WHEN z = 7 THEN 1 ELSE 0 END AS page,
+         c // 2 + 1 + CASE WHEN z = 3 THEN 1 ELSE 0 END AS epoch, 100 * c + arrival % 50 AS as_of,
+         100 * c + 5 * j - CASE WHEN z = 13 THEN 40 ELSE 0 END AS nxt, z = 2 AS nothing FROM p
+), walk(retailer, seq, arrival, verdict, ph, ep, sq, cu, re) AS (
+  SELECT retailer, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', 'catalog', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(-1 AS BIGINT)
+  FROM (SELECT DISTINCT retailer FROM q)
+  UNION ALL
+  SELECT retailer, seq, arrival, v,
+    CASE v WHEN 'start' THEN CASE WHEN page >= 7 THEN 'offers' ELSE 'catalog' END WHEN 'catalog' THEN CASE WHEN page >= 7 THEN 'offers' ELSE 'catalog' END
+           WHEN 'gone' THEN 'catalog' ELSE ph END,
+    CASE v WHEN 'start' THEN epoch WHEN 'gone' THEN NULL ELSE ep END,
+    CASE v WHEN 'start' THEN as_of WHEN 'gone' THEN NULL WHEN 'offers' THEN nxt ELSE sq END,
+    CASE v WHEN 'start' THEN CASE WHEN page >= 7 THEN 0 ELSE 1 END WHEN 'catalog' THEN CASE WHEN page >= 7 THEN 0 ELSE page + 1 END WHEN 'gone' THEN 0 ELSE cu END,
+    re + CASE WHEN v = 'start' THEN 1 ELSE 0 END
+  FROM (
+    SELECT q.*, w.ph, w.ep, w.sq, w.cu, w.re,
+      CASE WHEN q.cat AND q.page = 0 THEN 'start'
+           WHEN q.cat AND w.ph = 'catalog' AND w.cu > 0 AND q.epoch <> w.ep THEN 'gone'
+           WHEN q.cat AND w.ph = 'catalog' AND w.cu > 0 AND q.page = w.cu THEN 'catalog'
+           WHEN q.cat THEN 'out_of_order'
+           WHEN w.ph = 'catalog' THEN 'early'
+           WHEN q.epoch <> w.ep THEN 'gone'
+           WHEN q.nothing THEN 'idle'
+           WHEN q.nxt <= w.sq THEN 'replayed'
+           ELSE 'offers' END AS v
+    FROM walk w JOIN q ON q.retailer = w.retailer AND q.seq = w.seq + 1)
+)
+"""
+
+
+def sync_decisions(spark, sf_dir):
+    from pricelake.operators import sync
+    from pricelake.sources.feed import synthetic_page_log
+    return sync.decide(synthetic_page_log(spark, sf_dir))
+
+
+@query("sync_pages", SYNC_SQL + "SELECT retailer, arrival, verdict, ph AS s_phase, ep AS s_epoch, sq AS s_seq, cu AS s_cursor, re AS s_resyncs FROM walk WHERE seq > 0")
+def q_sync_pages(spark, sf_dir):
+    """L2, L3: the verdict of the two-phase sync on every page of the log."""
+    return sync_decisions(spark, sf_dir)
+
+
+@query("sync_positions", SYNC_SQL + """SELECT w.retailer, w.ph AS phase, w.ep AS epoch, w.sq AS seq, w.cu AS cursor, w.re AS resyncs, c.* EXCLUDE (retailer, last)
+FROM walk w JOIN (SELECT retailer, max(seq) AS last,
+    """ + ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS n_{v}" for v in ("start", "catalog", "offers", "idle", "replayed", "early", "out_of_order", "gone")) + """
+  FROM walk WHERE seq > 0 GROUP BY retailer) c ON c.retailer = w.retailer AND c.last = w.seq""")
+def q_sync_positions(spark, sf_dir):
+    """A8 and L13's resyncs: the position of every retailer and its pages by verdict."""
+    from pricelake.operators import sync
+    return sync.positions(sync_decisions(spark, sf_dir))
