@@ -10,8 +10,8 @@ second one pairs of frequent words, a third one writes the suffixes that begin w
 cut at ``DEPTH`` words, at the end of the piece and before the first pair that is not frequent. Which words
 and pairs are frequent goes to the tasks as a bit array of ``FILTER_BITS`` bits by hash; its size is
 the same for any corpus, and a false bit only sends a suffix that no count needs. Equal suffixes are
-one leaf with a count (pre-reduced per slab of text and per task, so a passage in a third of all
-documents is a few rows). Prefixes of two words are dealt into groups of about ``LEAVES`` leaves;
+one leaf with a count (merged in each task, up to ``HELD_LEAVES`` at a time, so a passage in a third of
+all documents is a few rows). Prefixes of two words are dealt into groups of about ``LEAVES`` leaves;
 a prefix with more leaves is extended by a word until it fits.
 
 *Subtrees.* Every group, one Arrow table of bounded size, is sorted into its suffix tree; the count of
@@ -46,6 +46,8 @@ DEPTH = 5
 SLAB = 8 << 20
 #: Bits of the arrays of frequent words and pairs: 8 MB each.
 FILTER_BITS = 1 << 26
+#: Leaves that a task holds to merge equal ones before it passes them on.
+HELD_LEAVES = 1 << 20
 #: Leaves of a prefix that is not extended, and twice the mean of a group.
 LEAVES = 1 << 17
 
@@ -173,9 +175,25 @@ def _phrases(rows: np.ndarray, depth: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(data.tobytes())])
 
 
+def _merged(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one with their sum. Rows are brought together by a hash, and compared whole."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(_mix((rows * np.array([3, 5, 7, 11, 13], np.uint64)).sum(1)), kind="stable")
+    rows, n = rows[order], n[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return rows[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task body: (phrase, n) of the truncated suffixes that begin with a frequent pair."""
+    def leaves(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([_phrases(rows, (rows != 0).sum(1)), pa.array(n)], ["g", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for s in slabs(batches, seed):
             key = s.keys()
             link = np.zeros(len(key) + DEPTH, bool)
@@ -184,20 +202,18 @@ def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.Recor
             at = np.flatnonzero(link)
             rows = np.zeros((len(at), DEPTH), np.uint64)
             key = np.concatenate([key, np.zeros(DEPTH, np.uint64)])
-            on, depth = np.ones(len(at), bool), np.ones(len(at), np.int64)
+            on = np.ones(len(at), bool)
             rows[:, 0] = key[at]
             for k in range(1, DEPTH):
                 on &= link[at + k - 1]
                 rows[on, k] = key[at[on] + k]
-                depth += on
-            with np.errstate(over="ignore"):
-                order = np.argsort(_mix((rows * np.array([3, 5, 7, 11, 13], np.uint64)).sum(1)), kind="stable")
-            rows, depth = rows[order], depth[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(1)
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(rows)))
-            yield pa.RecordBatch.from_arrays([_phrases(rows[first], depth[first]), pa.array(n.astype(np.int64))], ["g", "n"])
+            held.append(_merged(rows, np.ones(len(at), np.int64)))
+            size += len(held[-1][1])
+            if size >= HELD_LEAVES:
+                yield leaves(held)
+                held, size = [], 0
+        if held:
+            yield leaves(held)
     return run
 
 
