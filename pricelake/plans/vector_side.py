@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricelake.functions.fnv import fnv1a64_hex
+from pricelake.operators import neighbours as nb
 from pricelake.operators import similar as sm
 from pricelake.plans.oracle import with_views as V
 from pricelake.plans.registry import query
+from pricelake.plans.stored import stored
 from pricelake.sources import fixtures as fx
 from pricelake.sources.tables import read_table
 
@@ -116,20 +118,52 @@ def q_similar_vectors(spark, sf_dir):
     return nn.select("vec_id", "label", F.round("distance", 4).alias("distance"))
 
 
+def vector_index(spark, sf_dir):
+    """H7: the inverted lists of the embeddings table, written once."""
+    return stored(spark, sf_dir, "vector-index", lambda path: nb.write_index(
+        read_table(spark, sf_dir, "embeddings"), path, "vec_id", "embedding"))
+
+
 @query("ivf_lists")
 def q_ivf_lists(spark, sf_dir):
-    """H7 build: k-means (cosine) inverted lists over the embeddings table; list sizes.
-    Approximate by nature: checked by recall in the tests, not by an oracle."""
-    e = read_table(spark, sf_dir, "embeddings")
-    n_lists = 8
-    _, assigned = sm.ivf_index(e, "embedding", n_lists)
-    return assigned.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    """H7 build: sizes of the stored lists over the embeddings table. The lists follow a fit, so there is no
+    oracle; the tests hold them against the table."""
+    return spark.read.parquet(f"{vector_index(spark, sf_dir)}/lists").select("list_id", "n")
+
+
+def _near_target(spark, sf_dir, probes):
+    e = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == TARGET_VECTOR).select("embedding").limit(1).collect()
+    near = nb.nearest(spark, vector_index(spark, sf_dir), e[0][0] if e else [0.0], probes, exclude=TARGET_VECTOR)
+    labels = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return near.join(labels, "id").select(F.col("id").alias("vec_id"), "label", "distance")
 
 
 @query("ivf_similar_vectors")
 def q_ivf_similar_vectors(spark, sf_dir):
-    """H7 probe: approximate 12 nearest to vector 0, probing the 3 nearest of 8 lists."""
-    e = read_table(spark, sf_dir, "embeddings")
-    model, assigned = sm.ivf_index(e, "embedding", 8)
-    nn = sm.ivf_nearest(model, assigned, "vec_id", "embedding", TARGET_VECTOR, nprobe=3)
-    return nn.select("vec_id", "label", F.round("distance", 4).alias("distance"))
+    """H7 probe: approximate 12 nearest to vector 0 from the three nearest stored lists."""
+    return _near_target(spark, sf_dir, 3)
+
+
+@query("ivf_nearest_vectors", """WITH
+u AS (SELECT vec_id, label, embedding AS v,
+      sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings WHERE embedding IS NOT NULL),
+d AS (
+  SELECT u.vec_id, u.label, round(1 - list_sum(list_transform(list_zip(u.v, t.v), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (u.n * t.n), 6) + 0.0 AS distance
+  FROM u JOIN u t ON t.vec_id = """ + str(TARGET_VECTOR) + """ AND u.vec_id <> t.vec_id WHERE u.n > 0)
+SELECT vec_id, label, distance FROM d ORDER BY distance, vec_id LIMIT 12""")
+def q_ivf_nearest_vectors(spark, sf_dir):
+    """H7 exact: the 12 nearest to vector 0 from the stored lists that their radius cannot rule out."""
+    return _near_target(spark, sf_dir, None)
+
+
+@query("similar_items", V("products") + FEATS_SQL + """,
+nrm AS (SELECT id, sqrt(sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE))) AS n FROM emb GROUP BY id HAVING n > 0),
+dots AS (SELECT a.id, b.id AS other, sum(CAST(a.value AS DOUBLE) * CAST(b.value AS DOUBLE)) AS dot
+         FROM emb a JOIN emb b ON a.idx = b.idx AND a.id <> b.id GROUP BY a.id, b.id),
+dist AS (SELECT x.id, y.id AS neighbour, round(1 - coalesce(d.dot, 0) / (x.n * y.n), 6) + 0.0 AS distance
+         FROM nrm x JOIN nrm y ON x.id <> y.id LEFT JOIN dots d ON d.id = x.id AND d.other = y.id)
+SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank FROM dist) WHERE rank <= 12""")
+def q_similar_items(spark, sf_dir):
+    """H8: the similar-items table, the 12 nearest products of every product."""
+    return nb.similar_items(sm.embeddings(fx.products(spark, sf_dir)))
