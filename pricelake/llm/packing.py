@@ -3,9 +3,10 @@
 *Pieces.* A document is its token ids (the library's own ids, whole text) and one closing id. Only
 documents longer than a sequence are cut, into full pieces and a rest. Text is encoded chunk by
 chunk between spaces and line ends: the tokenizer drops white space and none of its steps looks
-across it, so the ids are those of the whole text. Repeated chunks are encoded once per task, and
-plain ones as their runs of letters, digits and symbols (caches of ``CACHE`` entries each, emptied
-when full and when the task ends).
+across it, so the ids are those of the whole text. numpy cuts a slab of texts into chunks, and plain
+chunks into the runs of letters, single digits and runs of symbols that the tokenizer would cut them
+into; the distinct ones are encoded by the library (a cache of ``CACHE`` entries per worker, whose oldest
+half goes when it is full), and the ids of a text are gathered by index.
 
 *Packing.* Full pieces are sequences of their own. The others are dealt by a hash of their row
 (equal rows spread too) into blocks of about ``BLOCK`` pieces; every block is evolved by ``ISLANDS`` islands, a Spark row each. An island
@@ -24,9 +25,11 @@ gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import col
+from pricelake.llm.common import chunks, col, utf8
 from pricelake.session import freeze
 
 CAPACITY = 4096
 CLOSING_ID = 1
-CACHE = 250_000
+CACHE = 500_000
 BLOCK = 4096
 ISLANDS = 3
 EPOCHS = 2
@@ -48,77 +51,142 @@ GENERATIONS = 10
 KEEP = 0.995
 
 _ENCODERS: dict[str, tuple] = {}
-#: Characters of chunks that are split into runs here: printable ASCII but ``'`` and ``<``, and the
-#: composed letters of Latin-1, which no step of the tokenizer changes except to lower case.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIMPLE = re.compile(f"[!-&(-;=-~{_LETTERS}]*")
-_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Runs that the library encodes in one text.
+RUNS_AT_ONCE = 8192
+#: Bytes of text that are encoded at once (a longer text in parts that end at white space).
+SLAB = 8 << 20
+
+# Classes of bytes. The white space that separates chunks; letters, digits and symbols of
+# printable ASCII; the bytes that only the tokenizer can judge (contractions, special tokens, other characters).
+SPACE, LETTER, DIGIT, SYMBOL, HARD = range(5)
+_CLASS = np.full(256, HARD, np.uint8)
+_CLASS[33:127] = SYMBOL
+_CLASS[48:58] = DIGIT
+_CLASS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = LETTER
+_CLASS[np.frombuffer(b"'<", np.uint8)] = HARD
+_CLASS[np.frombuffer(b" \n", np.uint8)] = SPACE
+#: A byte of a unit that only the tokenizer can judge.
+_CALLS = re.compile(rb"['<\x00-\x20\x7f]|[\x80-\xff](?<!\xc3)(?<!\xc3.)|\xc3[\x97\xb7]", re.S)
+#: First byte of the composed letters of Latin-1, and the second bytes that are signs.
+_LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
 
 
 def _encoder(path: str):
-    """The tokenizer of ``path`` and the caches of chunks and of runs."""
+    """The tokenizer of ``path`` and the cache of units."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _ENCODERS[path] = (Tokenizer.from_file(path), {}, {})
+        _ENCODERS[path] = (Tokenizer.from_file(path), {})
     return _ENCODERS[path]
 
 
-def _parts(word: str) -> list[str] | None:
-    """Lower-case runs that the tokenizer splits a chunk into, or None where only it can tell: an
-    apostrophe starts contractions, ``<`` special tokens, other letters may be composed."""
-    return _RUNS.findall(word.lower()) if _SIMPLE.fullmatch(word) else None
-
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers."""
-    tokenizer, cache, runs = _encoder(path)
-    split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    found = [list(map(cache.get, words)) for words in split]
-    missing = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
-    if len(cache) + len(missing) > CACHE:
-        cache.clear()
-    if len(runs) > CACHE:
-        runs.clear()
-    parts = {w: _parts(w) for w in missing}
-    new = list({x for w, p in parts.items() for x in ([w] if p is None else p) if x not in runs})
-    for x, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-        runs[x] = np.array(e.ids, "<u4").tobytes()
-    for w, p in parts.items():
-        cache[w] = runs[w] if p is None else b"".join([runs[x] for x in p])
-    return [b"".join([cache[w] if g is None else g for w, g in zip(words, got, strict=True)] if None in got else got)
-            for words, got in zip(split, found, strict=True)]
-
-
-def _by_size(texts: list[str | None], path: str, limit: int = 1 << 20):
-    """``encode`` for about a million characters at a time."""
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j] or "") < limit):
-            size += len(texts[j] or "")
-            j += 1
-        yield from encode(texts[i:j], path)
-        i = j
+def split_units(raw: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The units of the texts in order and the text of each. A chunk between white space is cut into the
+    lower-case runs that the tokenizer cuts it into, or stays whole if it holds a hard byte."""
+    kind = _CLASS[raw]
+    lead = np.flatnonzero(raw[:-1] == _LATIN)
+    lead = lead[(raw[lead + 1] >= 0x80) & (raw[lead + 1] < 0xC0) & ~np.isin(raw[lead + 1], _SIGNS)]
+    kind[lead] = kind[lead + 1] = LETTER
+    inside = kind != SPACE
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edges = offs[:-1][offs[:-1] < len(raw)]
+    begin[edges] = inside[edges]
+
+    kept = np.flatnonzero(inside)
+    if not len(kept):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    kind, first = kind[kept], np.flatnonzero(begin[kept])
+    chunk = np.cumsum(begin[kept], dtype=np.int32) - 1
+    easy = ~np.logical_or.reduceat(kind == HARD, first)[chunk]
+    low = raw[kept]
+    upper = easy & (low >= 65) & (low <= 90)
+    second = np.zeros(len(low), bool)
+    second[np.searchsorted(kept, lead + 1)] = True
+    upper |= easy & second & (low <= 0x9E)
+    low = low + np.uint8(32) * upper
+    cut = np.ones(len(kind), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut &= easy
+    cut[first] = True
+    ends = np.append(np.flatnonzero(cut), len(low)).astype(np.int64)
+    row = np.searchsorted(offs, kept[ends[:-1]], "right") - 1
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low)]), row
+
+
+def _slab_ids(raw: np.ndarray, offs: np.ndarray, path: str) -> list[bytes]:
+    """Token ids of each text, as little-endian unsigned 32-bit numbers. Distinct units are encoded once."""
+    tokenizer, cache = _encoder(path)
+    units, row = split_units(raw, offs)
+    found = units.dictionary_encode()
+    words = found.dictionary.to_pylist()
+    new = [w for w in words if w not in cache]
+    if len(cache) + len(new) > CACHE:                    # the oldest entries go; those of this slab must stay
+        for w in list(itertools.islice(cache, len(cache) // 2)):
+            del cache[w]
+        new = [w for w in words if w not in cache]
+    plain = [w for w in new if not _CALLS.search(w)]
+    for i in range(0, len(plain), RUNS_AT_ONCE):         # each run is one word of the tokenizer
+        part = plain[i:i + RUNS_AT_ONCE]
+        e = tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+        ids, starts = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(part) + 1)).tolist()
+        cache.update((w, ids[4 * x:4 * y]) for w, x, y in zip(part, starts[:-1], starts[1:], strict=True))
+    hard = [w for w in new if w not in cache]
+    for w, e in zip(hard, tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False), strict=True):
+        cache[w] = np.array(e.ids, "<u4").tobytes()
+    own = [cache[w] for w in words]
+    each = list(map(own.__getitem__, found.indices.to_numpy().tolist()))
+    at = np.searchsorted(row, np.arange(len(offs))).tolist()
+    return [b"".join(each[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _parts(raw: np.ndarray):
+    """A long text in parts of about ``SLAB`` bytes that end at white space."""
+    spaces = np.flatnonzero(_CLASS[raw] == SPACE)
+    a = 0
+    while a < len(raw):
+        i = np.searchsorted(spaces, a + SLAB)
+        b = int(spaces[i]) + 1 if i < len(spaces) else len(raw)
+        yield raw[a:b]
+        a = b
+
+
+def encoded(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """The token ids of each text, as little-endian unsigned 32-bit numbers."""
+    raw, offs = utf8(texts)
+    for i, j in chunks(offs, SLAB):
+        own = raw[offs[i]:offs[j]]
+        if j == i + 1 and len(own) > SLAB:
+            yield b"".join(_slab_ids(p, np.array([0, len(p)]), path)[0] for p in _parts(own))
+        else:
+            yield from _slab_ids(own, offs[i:j + 1] - offs[i], path)
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     def cut(batches):
         step, end = 4 * capacity, np.array([CLOSING_ID], "<u4").tobytes()
-        try:
-            for b in batches:
-                rows = [(i, k, at // 4, len(ids[at:at + step]) // 4, zlib.crc32(ids[at:at + step]))
-                        for i, ids in enumerate(x + end for x in _by_size(b.column(1).to_pylist(), path))
-                        for k, at in enumerate(range(0, len(ids), step))]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()),
-                     *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        finally:                                     # a worker outlives its task, the caches need not
-            for c in _encoder(path)[1:]:
-                c.clear()
+
+        def made(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            found = [(i, k, at // 4, len(ids[at:at + step]) // 4, zlib.crc32(ids[at:at + step]))
+                     for i, ids in enumerate(x + end for x in encoded(rows.column(1), path))
+                     for k, at in enumerate(range(0, len(ids), step))]
+            cols = list(zip(*found, strict=True)) if found else [[]] * 5
+            return pa.RecordBatch.from_arrays(
+                [rows.column(0).combine_chunks().take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()),
+                 *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= SLAB:
+                yield made(held)
+                held, size = [], 0
+        if held:
+            yield made(held)
 
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"

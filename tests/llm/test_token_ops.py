@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -93,6 +94,19 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(docs(spark, []), path("word_bpe_49k.json")).count() == 0
 
 
+def test_units_and_long_texts(monkeypatch):
+    """Against the library, with slabs of a few bytes and a cache that overflows."""
+    t = Tokenizer.from_file(path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    odd = PIECES + ["×", "÷", "Ã", "ÃŸ", "À", "ñ", "Þ", "a.b", "é", "e\u0301"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 14))) for _ in range(3000)] + [None, "", "long " * 90 + "x" * 300]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for slab, cache in ((8 << 20, 500_000), (50, 30)):
+        monkeypatch.setattr(packing, "SLAB", slab)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(pa.array(texts), path("word_bpe_49k.json"))] == want
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(1)
     lengths = sorted(rng.integers(1, 60, 300).tolist(), reverse=True)
