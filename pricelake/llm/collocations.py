@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricelake.llm.common import chunks, col, span_hashes, utf8
+from pricelake.llm.common import bit_filter, chunks, col, has_bits, span_hashes, utf8
 from pricelake.session import freeze
 
 DEPTH = 5
@@ -148,10 +148,6 @@ def _count_words(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return (bits[(key & np.uint64(len(bits) * 64 - 1)) >> np.uint64(6)] >> (key & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _pair(key: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return _mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + key[1:])
@@ -162,7 +158,7 @@ def _count_pairs(words: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slabs(batches, seed):
             key = s.keys()
-            known = _has(words, key)
+            known = has_bits(words, key)
             pair, n = np.unique(_pair(key)[s.joined & known[1:] & known[:-1]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
     return run
@@ -198,7 +194,7 @@ def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.Recor
             key = s.keys()
             link = np.zeros(len(key) + DEPTH, bool)
             if len(key) > 1:
-                link[:len(key) - 1] = s.joined & _has(pairs, _pair(key))
+                link[:len(key) - 1] = s.joined & has_bits(pairs, _pair(key))
             at = np.flatnonzero(link)
             rows = np.zeros((len(at), DEPTH), np.uint64)
             key = np.concatenate([key, np.zeros(DEPTH, np.uint64)])
@@ -241,16 +237,6 @@ def _subtree(least: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _filter(keys: DataFrame, key: str) -> np.ndarray:
-    """The bit array of the keys: packed into words of 64 bits by Spark, at most ``FILTER_BITS`` / 64 rows."""
-    at = F.col(key).bitwiseAND(FILTER_BITS - 1)
-    rows = (keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(`{key}` & 63 AS INT))").alias("bit"))
-            .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    return bits
-
-
 def words_of(texts: DataFrame) -> tuple[DataFrame, int]:
     """The stored vocabulary (lang, word, key, n) of (lang, text) rows, and the seed of its keys."""
     for seed in range(16):
@@ -263,9 +249,9 @@ def words_of(texts: DataFrame) -> tuple[DataFrame, int]:
 
 def leaves_of(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """The stored leaves (g, n): distinct truncated suffixes that begin with a frequent pair."""
-    frequent = _filter(words.where(F.col("n") >= least), "key")
+    frequent = bit_filter(words.where(F.col("n") >= least), "key", FILTER_BITS)
     pairs = texts.mapInArrow(_count_pairs(frequent, seed), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    frequent = _filter(pairs.where(F.col("n") >= least), "pair")
+    frequent = bit_filter(pairs.where(F.col("n") >= least), "pair", FILTER_BITS)
     return freeze(texts.mapInArrow(_write_suffixes(frequent, seed), "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")), "leaves")
 
 

@@ -15,10 +15,13 @@ other occurrences are merged per document and removed. Because the order is tota
 line has an equal line in an earlier place, one copy of every line stays somewhere. Lines that are
 removed in part keep their other words.
 
-*Plan.* Windows are written once to the shared folder. One aggregate by hash (pre-reduced map-side:
-a window found in a third of all documents is fine) keeps the repeated ones with their first place;
-an equi-join, split by AQE where a window is hot, gives the later places; one aggregate merges them
-per document; one left join by document brings them to the texts.
+*Plan.* One pass counts the windows by 8 bytes of their hash (pre-reduced map-side: a window found in a third
+of all documents is fine); which ones repeat goes to the tasks as a bit array of ``FILTER_BITS`` bits, of
+the same size for any corpus, in which a false bit only costs a row. A second pass writes the places of
+the windows with a set bit to the shared folder. One aggregate by the whole hash keeps the repeated ones
+with their first place; an equi-join, split by AQE where a window is hot, gives the later places;
+one aggregate merges them per document; one left join by document brings them to the texts. Words,
+breaks and hashes of a batch are found by numpy at once.
 
 Defined results: null text stays null, empty stays empty; texts of fewer than three lines are never
 changed; rows that share doc_id and text are one document and are all cut alike; null ids come
@@ -27,96 +30,179 @@ first in the order; extra columns are kept; an empty table gives an empty result
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelake.llm.common import col, fresh, utf8
+from pricelake.llm.common import bit_filter, chunks, col, fresh, has_bits, utf8
 from pricelake.session import freeze
 
 WINDOW = 3
 #: Words above which a line is wrapped, and of the longest piece.
 WRAP = 24
-#: Words on either side among which a break has the least hash (``_breaks`` is written for five).
+#: Words on either side among which a break has the least hash.
 REACH = 5
-
-
-def _breaks(words: list[bytes]) -> list[int]:
-    """Places before which a long line is broken: the least hash, the first of equal ones, within reach."""
-    h = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), ">u8").astype(np.uint64)
-    h[1:] = (h[1:] ^ (h[:-1] >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
-    edge = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    two = np.minimum((p := np.concatenate([edge, h, edge]))[:-1], p[1:])
-    four = np.minimum(two[:-2], two[2:])
-    five = np.minimum(four[:-1], p[4:])
-    n = len(h)
-    return np.flatnonzero((h < five[:n]) & (h <= five[REACH + 1:REACH + 1 + n])).tolist()
-
-
-def _lines(text: bytes) -> list[tuple[int, list[bytes]]]:
-    """(physical line, words) of each line of ``text`` after wrapping."""
-    out = []
-    for k, line in enumerate(text.split(b"\n")):
-        words = line.split()
-        if len(words) <= WRAP:
-            out.extend([(k, words)] if words else [])
-            continue
-        ends = [0, *[b for b in _breaks(words) if b], len(words)]
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            out.extend((k, words[i:min(i + WRAP, b)]) for i in range(a, b, WRAP))
-    return out
-
-
-def _window_hashes(text: bytes) -> list[bytes]:
-    each = [xxhash.xxh3_128_digest(b" ".join(w)) for _, w in _lines(text)]
-    return [xxhash.xxh3_128_digest(b"".join(each[i:i + WINDOW])) for i in range(len(each) - WINDOW + 1)]
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    raw, offs = utf8(column)
-    whole = raw.tobytes()
-    return [whole[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-
-
-def _windows(texts: pa.Array) -> pa.Array:
-    each = [_window_hashes(t) for t in _texts(texts)]
-    h = np.frombuffer(b"".join([b"".join(w) for w in each]), np.int64).reshape(-1, 2)
-    ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(h[:, k].copy()) for k in (0, 1)], ["h1", "h2"]))
-
-
-def _without(text: bytes, covered: set[int]) -> bytes:
-    parts = text.split(b"\n")
-    left: dict[int, list[bytes]] = {}
-    cut = set()
-    for i, (k, words) in enumerate(_lines(text)):
-        if i in covered:
-            cut.add(k)
-        else:
-            left.setdefault(k, []).extend(words)
-    return b"\n".join(b" ".join(left[k]) if k in cut else line
-                      for k, line in enumerate(parts) if k not in cut or k in left)
+#: Bits of the array of repeated windows: 16 MB.
+FILTER_BITS = 1 << 27
+#: White space between words.
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+#: Odd multipliers of the two halves of a hash, with their inverses modulo 2**64.
+_FACTORS = [(np.uint64(p), np.uint64(pow(p, -1, 1 << 64))) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+class Pieces:
+    """The words of a batch of texts and the pieces (lines after wrapping) that they form."""
+
+    def __init__(self, texts: pa.Array):
+        self.raw, self.offs = raw, offs = utf8(texts)
+        inside = ~_BLANK[raw]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        edges = offs[:-1][offs[:-1] < len(raw)]
+        begin[edges] = inside[edges]
+        self.start = np.flatnonzero(begin)
+        n = len(self.start)
+        letters = raw[inside]
+        ends = np.append(np.flatnonzero(begin[inside]), len(letters)).astype(np.int64)
+        self.end = self.start + np.diff(ends)
+        self.doc = np.searchsorted(offs, self.start, "right") - 1
+        row = np.cumsum(raw == 10, dtype=np.int64)[self.start] + self.doc       # physical lines, numbered through all texts
+        words = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+        known = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words.dictionary.to_pylist()]), ">u8").astype(np.uint64)
+        self.word = known[words.indices.to_numpy()]
+
+        new = np.ones(n, bool)
+        new[1:] = row[1:] != row[:-1]
+        first = np.flatnonzero(new)
+        self.row = np.cumsum(new) - 1                       # lines that hold a word
+        long = np.diff(np.append(first, n))[self.row] > WRAP if n else new
+        cut = new | (long & self._least(new))
+        held = np.maximum.accumulate(np.where(cut, np.arange(n), 0))
+        cut |= long & ((np.arange(n) - held) % WRAP == 0)
+        self.first = np.flatnonzero(cut)                    # first word of each piece
+        self.piece = np.cumsum(cut) - 1
+        self.piece_doc = self.doc[self.first]
+        self.doc_first = np.searchsorted(self.piece_doc, np.arange(len(offs)))
+
+    def _least(self, new: np.ndarray) -> np.ndarray:
+        """Words whose hash, taken with the word before in the line, is the least within reach (the first of equal ones)."""
+        with np.errstate(over="ignore"):
+            h = np.where(new, self.word, (self.word ^ (np.roll(self.word, 1) >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15))
+        least = np.ones(len(h), bool)
+        for d in range(1, min(REACH, len(h) - 1) + 1):
+            same = self.row[d:] == self.row[:-d]
+            least[d:] &= ~same | (h[d:] < h[:-d])
+            least[:-d] &= ~same | (h[:-d] <= h[d:])
+        return least
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of windows of each text, and the two halves of each window's hash."""
+        n = np.maximum(np.diff(self.doc_first) - WINDOW + 1, 0)
+        at = np.repeat(self.doc_first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        halves = []
+        for p, q in _FACTORS:
+            with np.errstate(over="ignore"):
+                power, back = np.full(len(self.word), p, np.uint64), np.full(len(self.word), q, np.uint64)
+                power[:1] = back[:1] = 1
+                np.cumprod(power, out=power)
+                np.cumprod(back, out=back)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(self.word + p) * power)])
+                ends = np.append(self.first[1:], len(self.word))
+                line = _mix((total[ends] - total[self.first]) * back[self.first] + (ends - self.first).astype(np.uint64))
+                h = np.zeros(len(at), np.uint64)
+                for k in range(WINDOW):
+                    h = _mix(h * p + line[at + k])
+            halves.append(h)
+        return n, *halves
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _chunked(texts: pa.Array):
+    """A batch in parts of about a megabyte of text."""
+    _, offs = utf8(texts)
+    for i, j in chunks(offs, 1 << 20):
+        yield i, j, Pieces(texts.slice(i, j - i))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: (h1, n) of the windows of a batch."""
+    for b in batches:
+        for _, _, p in _chunked(b.column("text")):
+            h, n = np.unique(p.windows()[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h1", "n"])
+
+
+def _placed(bits: np.ndarray):
+    """Task body: (id, tie, pos, h1, h2) of the windows whose bit is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, _, p in _chunked(b.column("text")):
+                n, h1, h2 = p.windows()
+                set_ = np.flatnonzero(has_bits(bits, h1))
+                doc = np.repeat(np.arange(len(n)), n)[set_]
+                pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[set_]
+                own = b.select(["id", "tie"]).take(pa.array(doc + i))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array(pos.astype(np.int32)), pa.array(h1[set_].view(np.int64)), pa.array(h2[set_].view(np.int64))], ["id", "tie", "pos", "h1", "h2"])
+    return run
+
+
+def _cut(pieces: Pieces, doc: int, starts: list[int]) -> bytes:
+    """A text without the words of the pieces that its windows at ``starts`` cover."""
+    base = pieces.doc_first[doc]
+    gone = np.zeros(pieces.doc_first[doc + 1] - base, bool)
+    for k in range(WINDOW):
+        gone[np.array(starts) + k] = True
+    a, z = np.searchsorted(pieces.doc, [doc, doc + 1])
+    lost = gone[pieces.piece[a:z] - base]
+    text = pieces.raw[pieces.offs[doc]:pieces.offs[doc + 1]].tobytes()
+    begin, out, at = pieces.offs[doc], [], 0
+    row = pieces.row[a:z]
+    for r in np.unique(row[lost]).tolist():                 # lines that lose words
+        i, j = np.searchsorted(row, [r, r + 1])
+        words = [(pieces.start[a + k] - begin, pieces.end[a + k] - begin) for k in range(i, j)]
+        left = text.rfind(b"\n", 0, words[0][0]) + 1
+        right = text.find(b"\n", words[-1][1])
+        if left > at:
+            out.extend(text[at:left - 1].split(b"\n"))
+        kept = [text[x:y] for (x, y), no in zip(words, lost[i:j], strict=True) if not no]
+        if kept:
+            out.append(b" ".join(kept))
+        at = len(text) + 1 if right < 0 else right + 1
+    if at <= len(text):
+        out.extend(text[at:].split(b"\n"))
+    return b"\n".join(out)
 
 
 def _remove(texts: pa.Array, starts: pa.Array) -> pa.Array:
-    out = []
-    for text, at, null in zip(_texts(texts), starts.to_pylist(), texts.is_null().to_pylist(), strict=True):
-        if null:
-            out.append(None)
-        elif not at:
-            out.append(text)
-        else:
-            out.append(_without(text, {s + k for s in at for k in range(WINDOW)}))
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    out = texts.cast(pa.binary()).to_pylist()
+    own = starts.to_pylist()
+    hit = [i for i, s in enumerate(own) if s and out[i] is not None]
+    some = texts.take(pa.array(hit, pa.int64()))
+    for i, j, pieces in _chunked(some):
+        for k in range(i, j):
+            out[hit[k]] = _cut(pieces, k - i, own[hit[k]])
     return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def later_windows(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """(id, tie, starts): per document the starts of windows that occur earlier in the corpus."""
-    windows = F.arrow_udf(_windows, "array<struct<h1:bigint,h2:bigint>>")
-    places = freeze(docs.select(doc_id.alias("id"), F.xxhash64(text).alias("tie"), windows(text).alias("w"))
-                    .select("id", "tie", F.posexplode("w").alias("pos", "h")).select("id", "tie", "pos", "h.*"), "windows")
+    rows = docs.select(doc_id.alias("id"), F.xxhash64(text).alias("tie"), text.cast("string").alias("text"))
+    counts = rows.select("text").mapInArrow(_counted, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n"))
+    bits = bit_filter(counts.where("n > 1"), "h1", FILTER_BITS)
+    kind = docs.select(doc_id.alias("id")).schema["id"].dataType.simpleString()
+    places = freeze(rows.mapInArrow(_placed(bits), f"id {kind}, tie long, pos int, h1 long, h2 long"), "windows")
     place = F.struct("id", "tie", "pos")
     first = (places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where("first != last").drop("last"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -106,16 +107,43 @@ def test_rules_keep_rows_and_columns(spark):
     assert quality_rules.judge(docs(spark, [])).count() == 0
 
 
+def plain_lines(text):
+    """(physical line, words) after wrapping, by the rule as the docstring states it."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        w = line.encode().split()
+        if len(w) <= 24:
+            out += [(k, w)] if w else []
+            continue
+        h = [xxhash.xxh3_64_intdigest(x) for x in w]
+        h = [h[0]] + [((b ^ a >> 7) * 0x9E3779B97F4A7C15) % 2**64 for a, b in zip(h[:-1], h[1:])]
+        cuts = [i for i in range(1, len(h)) if all(h[i] < y for y in h[max(0, i - 5):i]) and all(h[i] <= y for y in h[i + 1:i + 6])]
+        for a, b in zip([0, *cuts], [*cuts, len(w)]):
+            out += [(k, w[i:min(i + 24, b)]) for i in range(a, b, 24)]
+    return out
+
+
 def plain_line_dedup(rows):
-    """(id, text) in order of id: starts of windows found earlier, by comparing words."""
-    first, starts = {}, {}
+    """(id, text) in order of id, without the three-line windows found earlier, by comparing words."""
+    first, out = set(), {}
     for i, t in rows:
-        lines = [w for _, w in line_dedup._lines((t or "").encode())]
+        lines = plain_lines(t or "")
+        gone = set()
         for k in range(len(lines) - 2):
-            key = tuple(map(tuple, lines[k:k + 3]))
-            if first.setdefault(key, (i, k)) != (i, k):
-                starts.setdefault(i, set()).add(k)
-    return {i: line_dedup._without(t.encode(), {s + k for s in starts[i] for k in range(3)}).decode() if i in starts else t for i, t in rows}
+            key = tuple(tuple(w) for _, w in lines[k:k + 3])
+            if key in first:
+                gone |= {k, k + 1, k + 2}
+            first.add(key)
+        if not gone:
+            out[i] = t
+            continue
+        cut = {lines[g][0] for g in gone}
+        left = {}
+        for g, (k, w) in enumerate(lines):
+            if g not in gone:
+                left.setdefault(k, []).extend(w)
+        out[i] = "\n".join(b" ".join(left[k]).decode() if k in cut else x for k, x in enumerate(t.split("\n")) if k not in cut or k in left)
+    return out
 
 
 def test_line_dedup_against_plain_code(spark):
@@ -132,16 +160,28 @@ def test_long_passage_on_one_line(spark):
     assert got == [texts[0], "other intro\nother end", texts[2]]
 
 
-def test_breaks_against_plain_code():
+def test_pieces_against_plain_code():
     rng = random.Random(6)
+    texts = [None, "", " \n\t\n"]
     for _ in range(200):
-        w = [b"%d" % rng.randint(0, rng.choice([1, 9, 999])) for _ in range(rng.randint(25, 90))]
-        h = [xxhash.xxh3_64_intdigest(x) for x in w]
-        h = [h[0]] + [((b ^ a >> 7) * 0x9E3779B97F4A7C15) % 2**64 for a, b in zip(h[:-1], h[1:])]
-        want = [i for i, x in enumerate(h) if all(x < y for y in h[max(0, i - 5):i]) and all(x <= y for y in h[i + 1:i + 6])]
-        assert line_dedup._breaks(w) == want
-        pieces = [p for _, p in line_dedup._lines(b" ".join(w))]
-        assert sum(pieces, []) == w and max(map(len, pieces)) <= line_dedup.WRAP
+        texts.append("".join(f"{rng.randint(0, rng.choice([1, 9, 999]))}{rng.choice([' ', '  ', chr(9)] * 20 + [chr(10), chr(10) * 2])}" for _ in range(rng.randint(1, 120))))
+    p = line_dedup.Pieces(pa.array(texts))
+    for d, t in enumerate(texts):
+        own = range(p.doc_first[d], p.doc_first[d + 1])
+        got = [[p.raw[p.start[w]:p.end[w]].tobytes() for w in np.flatnonzero(p.piece == k)] for k in own]
+        assert got == [w for _, w in plain_lines(t or "")] and max(map(len, got), default=0) <= line_dedup.WRAP
+    n, h1, h2 = p.windows()
+    keys = [tuple(tuple(w) for _, w in plain_lines(t or "")[k:k + 3]) for t in texts for k in range(len(plain_lines(t or "")) - 2)]
+    assert len(keys) == n.sum() and len(set(zip(keys, h1.tolist(), h2.tolist()))) == len(set(keys)) == len(set(h1.tolist()))
+
+
+def test_full_filter(spark, monkeypatch):
+    """With every bit set all places are written; the result is the same."""
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 64)
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["a", "b", "c d"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs(spark, texts)).collect()}
+    assert got == plain_line_dedup(list(enumerate(texts, 1)))
 
 
 def test_long_passage_at_any_offset_of_a_line(spark):
