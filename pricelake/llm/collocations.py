@@ -6,8 +6,8 @@ words themselves, is searched for two words with one key, and another seed is ta
 So a phrase, the keys of its words in a row, is exact.
 
 *Vertical partitioning.* Prefixes grow by a word as long as they are frequent: one pass counts words, a
-second one pairs of frequent words, a third one writes the suffixes that begin with a frequent pair,
-cut at ``DEPTH`` words, at the end of the piece and before the first pair that is not frequent. Which words
+second one pairs of frequent words, a third one writes the suffixes that begin with two overlapping
+frequent pairs, cut at ``DEPTH`` words, at the end of the piece and before the first pair that is not frequent. Which words
 and pairs are frequent goes to the tasks as a bit array of ``FILTER_BITS`` bits by hash; its size is
 the same for any corpus, and a false bit only sends a suffix that no count needs. Equal suffixes are
 one leaf with a count (merged in each task, up to ``HELD_LEAVES`` at a time, so a passage in a third of
@@ -42,6 +42,7 @@ from pricelake.llm.common import bit_filter, chunks, col, has_bits, span_hashes,
 from pricelake.session import freeze
 
 DEPTH = 5
+_ODD = np.array([3, 5, 7, 11, 13], np.uint64)
 #: Bytes of text taken at once (a longer piece is taken whole).
 SLAB = 8 << 20
 #: Bits of the arrays of frequent words and pairs: 8 MB each.
@@ -148,22 +149,39 @@ def _count_words(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _pair(key: np.ndarray) -> np.ndarray:
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of keys, for the bit array alone."""
     with np.errstate(over="ignore"):
-        return _mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + key[1:])
+        return _mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def _merged(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one with their sum. Rows are brought together by a hash, and compared whole."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(_mix((rows * _ODD[:rows.shape[1]]).sum(1)), kind="stable")
+    rows, n = rows[order], n[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return rows[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _count_pairs(words: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task body: (pair, n) of adjacent frequent words, the pair as a hash."""
+    """Task body: (a, b, n) of adjacent frequent words, by their keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slabs(batches, seed):
             key = s.keys()
             known = has_bits(words, key)
-            pair, n = np.unique(_pair(key)[s.joined & known[1:] & known[:-1]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
+            at = np.flatnonzero(s.joined & known[1:] & known[:-1])
+            rows, n = _merged(np.stack([key[at], key[at + 1]], 1), np.ones(len(at), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), pa.array(n)], ["a", "b", "n"])
     return run
 
 
+def _pair_of(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(_pair(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64))
+
+
 def _phrases(rows: np.ndarray, depth: np.ndarray) -> pa.Array:
     """The first ``depth`` keys of each row as bytes."""
     data = rows.astype(">u8")[np.arange(rows.shape[1]) < depth[:, None]]
@@ -171,19 +189,8 @@ def _phrases(rows: np.ndarray, depth: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(data.tobytes())])
 
 
-def _merged(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal rows as one with their sum. Rows are brought together by a hash, and compared whole."""
-    with np.errstate(over="ignore"):
-        order = np.argsort(_mix((rows * np.array([3, 5, 7, 11, 13], np.uint64)).sum(1)), kind="stable")
-    rows, n = rows[order], n[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(1)
-    first = np.flatnonzero(new)
-    return rows[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task body: (phrase, n) of the truncated suffixes that begin with a frequent pair."""
+    """Task body: (phrase, n) of the truncated suffixes that begin with two frequent pairs."""
     def leaves(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         rows, n = _merged(*(np.concatenate(x) for x in zip(*held)))
         return pa.RecordBatch.from_arrays([_phrases(rows, (rows != 0).sum(1)), pa.array(n)], ["g", "n"])
@@ -194,8 +201,8 @@ def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.Recor
             key = s.keys()
             link = np.zeros(len(key) + DEPTH, bool)
             if len(key) > 1:
-                link[:len(key) - 1] = s.joined & has_bits(pairs, _pair(key))
-            at = np.flatnonzero(link)
+                link[:len(key) - 1] = s.joined & has_bits(pairs, _pair(key[:-1], key[1:]))
+            at = np.flatnonzero(link[:-1] & link[1:])
             rows = np.zeros((len(at), DEPTH), np.uint64)
             key = np.concatenate([key, np.zeros(DEPTH, np.uint64)])
             on = np.ones(len(at), bool)
@@ -230,7 +237,7 @@ def _subtree(least: int) -> Callable[[pa.Table], pa.Table]:
             new[1:] |= rows[1:, depth - 1] != rows[:-1, depth - 1]
             first = np.flatnonzero(new)
             total = np.add.reduceat(n, first)
-            node = (rows[first, depth - 1] != 0) & ((total >= least) | (depth < own[first])) & (depth > 1)
+            node = (rows[first, depth - 1] != 0) & ((total >= least) | (depth < own[first])) & (depth > 2)
             phrases.append(_phrases(rows[first[node]], np.full(int(node.sum()), depth)))
             counts.append(total[node])
         return pa.table({"g": pa.concat_arrays(phrases), "f": pa.array(np.concatenate(counts))})
@@ -247,11 +254,16 @@ def words_of(texts: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError("words of equal keys under every seed")
 
 
-def leaves_of(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
-    """The stored leaves (g, n): distinct truncated suffixes that begin with a frequent pair."""
+def pairs_of(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
+    """The stored frequent pairs (a, b, n), by the keys of their words."""
     frequent = bit_filter(words.where(F.col("n") >= least), "key", FILTER_BITS)
-    pairs = texts.mapInArrow(_count_pairs(frequent, seed), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    frequent = bit_filter(pairs.where(F.col("n") >= least), "pair", FILTER_BITS)
+    pairs = texts.mapInArrow(_count_pairs(frequent, seed), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return freeze(pairs.where(F.col("n") >= least), "pairs")
+
+
+def leaves_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """The stored leaves (g, n): distinct truncated suffixes that begin with two frequent pairs."""
+    frequent = bit_filter(pairs.select(F.arrow_udf(_pair_of, "long")("a", "b").alias("pair")), "pair", FILTER_BITS)
     return freeze(texts.mapInArrow(_write_suffixes(frequent, seed), "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")), "leaves")
 
 
@@ -277,11 +289,13 @@ def grouped(leaves: DataFrame) -> tuple[DataFrame, int]:
 
 def phrases(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """The stored frequent phrases (g, f) of one to ``DEPTH`` words."""
-    leaves, _ = grouped(leaves_of(texts, words, seed, least))
+    pairs = pairs_of(texts, words, seed, least)
+    leaves, _ = grouped(leaves_of(texts, pairs, seed))
     nodes = (leaves.groupBy("grp").applyInArrow(_subtree(least), "g binary, f long")
              .groupBy("g").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     single = words.where(F.col("n") >= least).select(_bytes("key").alias("g"), F.col("n").alias("f"))
-    return freeze(nodes.unionByName(single), "phrases")
+    double = pairs.select(F.concat(_bytes("a"), _bytes("b")).alias("g"), F.col("n").alias("f"))
+    return freeze(nodes.unionByName(single).unionByName(double), "phrases")
 
 
 def _bytes(key: str) -> Column:

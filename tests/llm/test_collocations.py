@@ -61,8 +61,9 @@ def test_small_budgets(spark, monkeypatch):
     want = plain(rows, 3, 500)
     monkeypatch.setattr(co, "LEAVES", 2)
     monkeypatch.setattr(co, "SLAB", 64)
-    words, seed = co.words_of(table(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text"))
-    leaves, groups = co.grouped(co.leaves_of(table(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text"), words, seed, 3))
+    texts = table(spark, rows).selectExpr("coalesce(lang, 'und') AS lang", "text")
+    words, seed = co.words_of(texts)
+    leaves, groups = co.grouped(co.leaves_of(texts, co.pairs_of(texts, words, seed, 3), seed))
     assert groups > 10 and leaves.agg(F.max("own")).first()[0] >= 4
     assert sorted(map(tuple, co.mine(table(spark, rows), 3, 500).collect())) == want
     monkeypatch.setattr(co, "FILTER_BITS", 64)
