@@ -4,17 +4,22 @@
 What is left of a vector after its centroid is cut into ``PARTS`` subspaces; each is coded by the
 nearest of ``CODES`` centroids of its subspace. Every vector is indexed, in its nearest list.
 
-*Search.* Every vector probes its ``PROBES`` nearest lists. In a list, a table per probe and subspace
-holds the squared distances from the residual of the query to the subspace centroids; the distance to
-an indexed vector is a sum of look-ups by its codes. Pairs within the distance of the threshold plus
-``SLACK`` are reranked by the exact cosine in double precision, and pairs of at least the threshold are
-links, none below it.
-
-*Plan.* Equal vectors are one class first (an aggregate, so a group of copies is one row). Lists are
-cut into blocks of about ``BLOCK`` index rows and ``BLOCK`` probes by hash, one group per pair of
-blocks, so no task holds a whole list of any size. A block returns the number of links per vector and
-a spanning forest of the links, not the pairs, so a dense group does not become a square of rows.
-The number of lists grows with the square root of the classes, up to the bound of the sample.
+*Search.* Let t be the distance of unit vectors at the threshold. A vector within t of a query q lies in
+the cell of a centroid c only if q is at most t beyond the plane that halves the way from q's own centroid
+to c, so exactly these lists are probed, as many as the data ask for. In a list, a table per query and
+subspace holds the squared distances from the residual of the query to the subspace centroids; the
+distance to an indexed vector's code is a sum of look-ups. Every vector carries its own coding error
+e; a vector within t of the query has a code within t + e, so the look-ups drop no link. What they leave is
+reranked by the exact cosine in double precision; pairs of at least the threshold are links, none
+below it.
+
+*Plan.* Equal vectors are one class first (an aggregate, so a group of copies is one row). Neighbouring
+lists are packed into blocks of about ``BLOCK`` vectors, a list of more is dealt into several by hash. A
+vector is sent once to each block that holds a list it probes, in one of the two directions (a ring
+of blocks, half of it ahead), so a pair is met once and counts for both ends. Queries of a block come
+in chunks of about ``BLOCK``, one group per block and chunk, so no task holds more. A group returns the number
+of links per vector and a spanning forest of the links, not the pairs, so a dense group does not become
+a square of rows. The number of lists grows with the square root of the classes, up to the bound of the sample.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links
 with nothing (0 links, its own component); vectors of another length than most are compared with none
@@ -41,9 +46,8 @@ SAMPLE = 16_384
 MAX_LISTS = 1024
 PARTS = 8
 CODES = 64
-PROBES = 32
-#: Added to the squared distance of the threshold for the coding error.
-SLACK = 0.35
+#: Added to bounds, for rounding (look-ups are in single precision).
+SLACK = 1e-4
 BLOCK = 4096
 
 
@@ -83,54 +87,115 @@ def encode(x: np.ndarray, own: np.ndarray, model) -> np.ndarray:
     return np.stack([_nearest(rest[:, c], b) for c, b in zip(_cuts(x.shape[1]), books, strict=True)], 1).astype(np.uint8)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a column of equally long vectors, in double precision."""
-    x = np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)])
+def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _entries(model):
-    """Index and probe rows of a batch of (node, n, embedding)."""
+def _raw(column: pa.Array) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in column.to_numpy(zero_copy_only=False)])
+
+
+def probed(x: np.ndarray, own: np.ndarray, coarse: np.ndarray, reach: float) -> np.ndarray:
+    """Which lists can hold a vector within ``reach`` of each row, whose nearest centroids are ``own``."""
+    size = (coarse * coarse).sum(1)
+    d = size - 2 * (x @ coarse.T)
+    apart = np.sqrt(np.maximum(size[:, None] + size - 2 * coarse @ coarse.T, 0))
+    return d - d[np.arange(len(x)), own][:, None] <= 2 * (reach + SLACK) * apart[own]
+
+
+def packed(coarse: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each list: lists are halved along their principal axis until
+    a part fits a block."""
+    first, n, at = np.zeros(len(coarse), np.int64), np.ones(len(coarse), np.int64), 0
+    todo = [np.arange(len(coarse))]
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= BLOCK:
+            first[part] = at
+            n[part] = -(-max(int(sizes[part].sum()), 1) // BLOCK)
+            at += int(n[part].max())
+            continue
+        c = coarse[part] - coarse[part].mean(0)
+        order = part[np.argsort(c @ np.linalg.svd(c, full_matrices=False)[2][0], kind="stable")]
+        half = min(max(1, int(np.searchsorted(np.cumsum(sizes[order]), sizes[order].sum() / 2))), len(order) - 1)
+        todo += [order[half:], order[:half]]
+    return first, n
+
+
+def _listed(model):
+    """(node, n, vector, list, code, error) of a batch of (node, n, embedding)."""
+    def run(batches):
+        coarse, books, kind = model.value
+        for b in batches:
+            if b.num_rows:
+                raw = _raw(b.column("embedding"))
+                x = _units(raw)
+                own = _nearest(x, coarse)
+                code = encode(x, own, (coarse, books))
+                rest = x - coarse[own]
+                error = np.sqrt(sum(((rest[:, c] - book[code[:, k]]) ** 2).sum(1) for k, (c, book) in enumerate(zip(_cuts(x.shape[1]), books, strict=True))))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("node"), b.column("n"), pa.array([v.tobytes() for v in raw.astype(kind)], pa.binary()), pa.array(own.astype(np.int32)),
+                     pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["node", "n", "vector", "list", "code", "error"])
+    return run
+
+
+def _vectors(column, kind: str) -> np.ndarray:
+    return _units(np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64))
+
+
+def _entries(model, first: np.ndarray, n_blocks: np.ndarray, reach: float):
+    """Index and probe rows of a batch of listed vectors."""
+    total = int((first + n_blocks).max())
+
     def run(batches):
+        coarse, _, kind = model.value
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column("embedding"))
-            coarse = model.value[0]
-            near = _nearest(x, coarse, min(PROBES, len(coarse))) if len(coarse) > 1 else np.zeros((len(x), 1), int)
-            code = encode(x, near[:, 0], model.value)
-            node, n = b.column("node").to_numpy(), b.column("n").to_numpy()
-            raw = np.array([v.tobytes() for v in x], object)
-            rows, k = np.repeat(np.arange(len(x)), near.shape[1]), near.shape[1]
-            code_of = np.array([c.tobytes() for c in code], object)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([near[:, 0], near.ravel()]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(x), bool), np.ones(len(rows), bool)])),
-                 pa.array(np.concatenate([node, node[rows]])), pa.array(np.concatenate([n, n[rows]])),
-                 pa.array([*raw, *raw[rows]], pa.binary()), pa.array([*code_of, *[None] * (len(x) * k)], pa.binary())],
-                ["list", "probe", "node", "n", "vector", "code"])
+            x, own = _vectors(b.column("vector").to_pylist(), kind), b.column("list").to_numpy()
+            node = b.column("node").to_numpy()
+            home = first[own] + (node * 0x9E3779B1 >> 16) % n_blocks[own]
+            row, to = np.nonzero(probed(x, own, coarse, reach))
+            many = n_blocks[to]
+            block = np.repeat(first[to] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            row = np.repeat(row, many)
+            row, block = np.unique(np.stack([row, block]), axis=1)
+            ahead = (block - home[row]) % total
+            met = (ahead < total - ahead) | (ahead == 0) | ((2 * ahead == total) & (home[row] < block))
+            row, block = row[met], block[met]
+            index = b.append_column("block", pa.array(home.astype(np.int32))).append_column("probe", pa.array(np.zeros(len(x), bool)))
+            ask = b.take(pa.array(row)).append_column("block", pa.array(block.astype(np.int32))).append_column("probe", pa.array(np.ones(len(row), bool)))
+            yield index.select(_NAMES)
+            nothing = pa.nulls(len(row), pa.binary())
+            yield ask.set_column(ask.schema.get_field_index("code"), "code", nothing).select(_NAMES)
     return run
 
 
-_ENTRY = "list int, probe boolean, node bigint, n bigint, vector binary, code binary"
+_LISTED = "node bigint, n bigint, vector binary, list int, code binary, error double"
+_ENTRY = "block int, probe boolean, " + _LISTED
+_NAMES = [c.split()[0] for c in _ENTRY.split(", ")]
 _FOUND = "a bigint, b bigint, links bigint"
 
 
-def _search(model, threshold: float):
-    """One pair of blocks: per probe the links found (a, null, links), and forest links (a, b, null)."""
+def _search(model, threshold: float, reach: float):
+    """One chunk of queries in a block: per vector the links found (a, null, links), and forest links (a, b, null)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        probe = pdf["probe"].to_numpy(bool)
-        index, ask = pdf[~probe], pdf[probe]
-        empty = pd.DataFrame({"a": [], "b": [], "links": []}).astype("Int64")
+        asks = pdf["probe"].to_numpy(bool)
+        index, ask = pdf[~asks].sort_values("list", kind="stable"), pdf[asks]
         if not len(index) or not len(ask):
-            return empty
-        coarse, books = model.value
-        x = np.frombuffer(b"".join(index["vector"]), np.float64).reshape(len(index), -1)
-        q = np.frombuffer(b"".join(ask["vector"]), np.float64).reshape(len(ask), -1)
+            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("Int64")
+        coarse, books, kind = model.value
+        x, q = _vectors(index["vector"], kind), _vectors(ask["vector"], kind)
         codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(len(index), -1)
-        xn, qn, weight = index["node"].to_numpy(), ask["node"].to_numpy(), index["n"].to_numpy()
-        rest = q - coarse[int(pdf["list"].iloc[0])]
-        links, a, b, root, heads = np.zeros(len(q), np.int64), [], [], np.arange(len(x)), {}
+        xn, qn, xw, qw = index["node"].to_numpy(), ask["node"].to_numpy(), index["n"].to_numpy(), ask["n"].to_numpy()
+        lists, begin = np.unique(index["list"].to_numpy(), return_index=True)
+        error, home = index["error"].to_numpy(), set(xn.tolist())
+        mine = np.array([v in home for v in qn.tolist()])           # queries of this very block: each pair once
+        may = probed(q, ask["list"].to_numpy(), coarse, reach)[:, lists]
+        q_links, x_links = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
+        a, b, root, heads = [], [], np.arange(len(x)), {}
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -138,57 +203,66 @@ def _search(model, threshold: float):
                 i = root[i]
             return i
 
-        cuts, most = _cuts(x.shape[1]), 2 - 2 * threshold + SLACK
-        for s in range(0, len(q), 256):
-            far = np.zeros((len(q[s:s + 256]), len(x)), np.float32)
-            for k, (c, book) in enumerate(zip(cuts, books, strict=True)):
-                part = rest[s:s + 256, c]
-                table = ((part[:, None, :] - book[None]) ** 2).sum(2).astype(np.float32)
-                far += table[:, codes[:, k]]
-            i, j = np.nonzero(far <= most)
-            for t in range(0, len(i), 1 << 18):          # exact rerank, a bounded number at a time
-                ii, jj = i[t:t + (1 << 18)] + s, j[t:t + (1 << 18)]
-                ok = (np.einsum("ij,ij->i", q[ii], x[jj]) >= threshold) & (qn[ii] != xn[jj])
-                ii, jj = ii[ok], jj[ok]
-                np.add.at(links, ii, weight[jj])
-                # links of one probe join its index rows; only joins of different trees are returned
-                for g, h in zip(ii.tolist(), jj.tolist(), strict=True):
-                    first = heads.setdefault(g, h)
-                    if first == h:
-                        a.append(qn[g])
-                        b.append(xn[h])
-                    else:
-                        u, v = find(first), find(h)
-                        if u != v:
-                            root[u] = v
+        cuts = _cuts(x.shape[1])
+        for k, (list_, i0) in enumerate(zip(lists, begin, strict=True)):
+            i1 = begin[k + 1] if k + 1 < len(begin) else len(x)
+            limit = ((reach + SLACK + error[i0:i1]) ** 2 + SLACK).astype(np.float32)
+            asking = np.flatnonzero(may[:, k])
+            for s in range(0, len(asking), 256):
+                own = asking[s:s + 256]
+                rest = q[own] - coarse[list_]
+                far = np.zeros((len(own), i1 - i0), np.float32)
+                for m, (c, book) in enumerate(zip(cuts, books, strict=True)):
+                    part = rest[:, c]
+                    table = ((part * part).sum(1)[:, None] + (book * book).sum(1) - 2 * part @ book.T).astype(np.float32)
+                    far += table[:, codes[i0:i1, m]]
+                i, j = np.nonzero(far <= limit)
+                for t in range(0, len(i), 1 << 18):          # exact rerank, a bounded number at a time
+                    ii, jj = own[i[t:t + (1 << 18)]], j[t:t + (1 << 18)] + i0
+                    ok = (np.einsum("ij,ij->i", q[ii], x[jj]) >= threshold) & np.where(mine[ii], qn[ii] < xn[jj], qn[ii] != xn[jj])
+                    ii, jj = ii[ok], jj[ok]
+                    np.add.at(q_links, ii, xw[jj])
+                    np.add.at(x_links, jj, qw[ii])
+                    # links of one query join its index rows; only joins of different trees are returned
+                    for g, h in zip(ii.tolist(), jj.tolist(), strict=True):
+                        head = heads.setdefault(g, h)
+                        if head == h:
                             a.append(qn[g])
                             b.append(xn[h])
-        got = np.flatnonzero(links)
-        return pd.DataFrame({"a": pd.array([*qn[got], *a], "Int64"), "b": pd.array([*[None] * len(got), *b], "Int64"),
-                             "links": pd.array([*links[got], *[None] * len(a)], "Int64")})
+                        else:
+                            u, v = find(head), find(h)
+                            if u != v:
+                                root[u] = v
+                                a.append(qn[g])
+                                b.append(xn[h])
+        got, met = np.flatnonzero(q_links), np.flatnonzero(x_links)
+        return pd.DataFrame({"a": pd.array([*qn[got], *xn[met], *a], "Int64"), "b": pd.array([*[None] * (len(got) + len(met)), *b], "Int64"),
+                             "links": pd.array([*q_links[got], *x_links[met], *[None] * len(a)], "Int64")})
     return run
 
 
-def near_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, links) of classes (node, n, embedding) of one length, see ``_search``."""
+def near_links(classes: DataFrame, threshold: float = THRESHOLD, kind: str = "<f8") -> DataFrame:
+    """(a, b, links) of classes (node, n, embedding) of one length, see ``_search``. ``kind`` is the type that
+    the components are sent as (it must hold them exactly)."""
     spark = classes.sparkSession
     n = classes.count()
     rows = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    model = spark.sparkContext.broadcast(fit(_matrix(rows["embedding"].combine_chunks()), n))
-    entries = freeze(classes.mapInArrow(_entries(model), _ENTRY), "entries")
-    sizes = entries.groupBy("list").agg(F.ceil(F.sum(F.when(F.col("probe"), 0).otherwise(1)) / BLOCK).alias("nx"),
-                                        F.ceil(F.sum(F.when(F.col("probe"), 1).otherwise(0)) / BLOCK).alias("ny")).where("nx > 0")
-    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
-    every = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
-    own = entries.join(sizes, "list")
-    dealt = (own.withColumn("bx", F.explode(F.when(F.col("probe"), every("nx")).otherwise(F.array(at("nx")))))
-             .withColumn("by", F.explode(F.when(F.col("probe"), F.array(at("ny"))).otherwise(every("ny")))))
-    return dealt.groupBy("list", "bx", "by").applyInPandas(_search(model, threshold), _FOUND)
+    coarse, books = fit(_units(_raw(rows["embedding"].combine_chunks())), n)
+    model, reach = spark.sparkContext.broadcast((coarse, books, kind)), float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    listed = freeze(classes.mapInArrow(_listed(model), _LISTED), "listed")
+    sizes = np.zeros(len(coarse), np.int64)
+    for list_, size in listed.groupBy("list").count().collect():          # at most MAX_LISTS rows
+        sizes[list_] = size
+    entries = freeze(listed.mapInArrow(_entries(model, *packed(coarse, sizes), reach), _ENTRY), "entries")
+    chunks = entries.groupBy("block").agg(F.ceil(F.count_if("probe") / BLOCK).alias("chunks")).where("chunks > 0")
+    by = F.when(F.col("probe"), F.array(F.pmod(F.xxhash64("node"), F.col("chunks")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+    return entries.join(chunks, "block").withColumn("by", F.explode(by)).groupBy("block", "by").applyInPandas(_search(model, threshold, reach), _FOUND)
 
 
 def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     e = col(embedding).cast("array<double>")
+    kind = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce((F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0), F.lit(False))
     # -0.0 and 0.0 are one value
@@ -199,7 +273,7 @@ def dedup(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
     found = None
     for (length,) in classes.select(F.size("embedding")).distinct().collect():
-        part = near_links(classes.where(F.size("embedding") == length).select("node", "n", "embedding"), threshold)
+        part = near_links(classes.where(F.size("embedding") == length).select("node", "n", "embedding"), threshold, kind)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -192,3 +192,42 @@ def test_vectors(spark):
     assert got[8]["component_id"] == 7 and got[7]["n_links"] == 1 and not got[8]["kept"]
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
     assert embedding_dedup.dedup(df.where("vec_id < 7")).count() == 6
+
+
+def near_vectors(kind, n, dims, seed):
+    """Vectors of which half are near copies of another, at cosines about the threshold."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n // 2, dims)) if kind == "isotropic" else rng.normal(size=(12, dims))[rng.integers(0, 12, n // 2)] + 0.4 * rng.normal(size=(n // 2, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.94, 0.99, (len(base), 1))
+    return np.concatenate([base, c * base + np.sqrt(1 - c * c) * side]) * rng.uniform(0.5, 2, (2 * len(base), 1))
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clusters"])
+def test_no_link_is_lost(spark, monkeypatch, kind):
+    """Against all pairs, with more lists than a query probes in clusters, in many blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 300)
+    x = near_vectors(kind, 3000, 32, 5).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert near.sum() > 2000
+    want = groups(len(u), zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    got = {r["vec_id"]: r for r in embedding_dedup.dedup(df).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == near.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(u))] == want
+
+
+def test_probed_lists_are_few_in_clusters_and_enough():
+    for kind in ("isotropic", "clusters"):
+        x = embedding_dedup._units(near_vectors(kind, 4000, 32, 6))
+        coarse, _ = embedding_dedup.fit(x, len(x))
+        own, reach = embedding_dedup._nearest(x, coarse), float(np.sqrt(0.1))
+        may = embedding_dedup.probed(x, own, coarse, reach)
+        i, j = np.nonzero((x @ x.T >= 0.95))
+        assert may[i, own[j]].all()
+        assert kind == "isotropic" or may.mean() < 0.5
