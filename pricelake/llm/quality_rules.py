@@ -266,10 +266,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. The statistics are computed twice (once
-    for the estimates, once beside the text), which is cheaper than moving the texts to a join."""
-    params = estimates(freeze(described(docs), "stats"))
+    """The rows of ``docs`` that pass, with their columns. The rows are stored once with their statistics;
+    the estimates read the statistics alone."""
     row = fresh(docs, "kept_row")
-    rows = described(docs, "text", "lang", "source", F.struct(*[col(c) for c in docs.columns]).alias(row))
-    return _with_distance(rows, params).where(_verdict()).select(f"{row}.*")
-
+    rows = freeze(described(docs, "text", "lang", "source", F.struct(*[col(c) for c in docs.columns]).alias(row)), "described")
+    return _with_distance(rows, estimates(rows.drop(row))).where(_verdict()).select(f"{row}.*")

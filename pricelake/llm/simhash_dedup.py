@@ -231,7 +231,7 @@ def near_links(classes: DataFrame, d: int) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, d: int) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``prints`` (id, fp)."""
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (id, fp); the root is a fingerprint of the component."""
     classes = freeze(prints.groupBy("fp").agg(F.min("id").alias("id")), "classes")
     found = components(near_links(classes, d))
     root = classes.join(found, F.col("fp") == F.col("node"), "left").select(
@@ -240,7 +240,7 @@ def fingerprint_components(prints: DataFrame, d: int) -> DataFrame:
     least = root.where("fp != root").unionByName(
         root.where("fp = root").join(found.select(F.col("component").alias("root")).distinct(), "root", "left_semi")
         .select("fp", "id", "root")).groupBy("root").agg(F.min("id").alias("least"))
-    return root.join(least, "root", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
+    return root.join(least, "root", "left").select("fp", "root", F.coalesce("least", "id").alias("component_id"))
 
 
 def with_fingerprints(docs: DataFrame, doc_id: Column, text: Column, shingle: int) -> DataFrame:
@@ -256,10 +256,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, doc_id
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns of ``docs``;
-    of rows that share this id one stays. Rows with a null id are kept."""
-    near = near_duplicates(docs, shingle, max_bits)
-    k = fresh(docs, "kept_id")
-    kept = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(k)).distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(k), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component, with the columns of ``docs``: the one with the smallest id, then the
+    smallest hash of its text; ids may repeat or be null (null ids come last). Of rows with this id and
+    text one stays."""
+    one, tie = fresh(docs, "kept_id"), fresh(docs, "kept_tie")
+    hashed = F.xxhash64(F.col("text"))
+    prints = freeze(docs.select(F.col("doc_id").alias("id"), hashed.alias("tie"), fingerprints(shingle)(F.col("text").cast("string")).alias("fp")), "simhash")
+    roots = fingerprint_components(prints.select("id", "fp"), max_bits).select("fp", "root")
+    best = prints.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("best"))
+    kept = best.select(F.col("best.id").alias(one), F.col("best.tie").alias(tie))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(one)) & (hashed == F.col(tie)))
+    return rows.dropDuplicates([one, tie]).select(*[col(c) for c in docs.columns])

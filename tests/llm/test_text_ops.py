@@ -246,13 +246,22 @@ def test_thresholds_follow_the_general_pigeonhole():
 
 def test_keep_first(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    d = docs(spark, [(5, text), (3, text), (3, text), (7, "something else entirely here"), (8, None), (9, ""), (None, "n u l l")]).withColumn("kept_id", F.lit(1))
+    d = docs(spark, [(5, text), (3, text), (3, text), (7, "something else entirely here"), (8, None), (9, ""), (None, "n u l l")]).withColumn("kept_id", F.lit(1)).withColumn("kept_tie", F.lit(1))
     out = simhash_dedup.keep_first(d)
     assert out.columns == d.columns
     assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3, 7, 8]
     assert simhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_first_with_shared_and_null_ids(spark):
+    """Unrelated texts of one id stay both; copies without an id shrink to one, also beside one with an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    d = docs(spark, [(1, a), (1, b), (1, b), (None, c), (None, c), (None, a), (2, a + " end"), (None, None), (None, "")])
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in simhash_dedup.keep_first(d).collect()))
+    assert got in ([(0, ""), (0, c), (1, a), (1, b)], [(0, ""), (0, c), (1, a), (1, b), (2, a + " end")])
+    assert len(got) == 4 or len({plain_fingerprint(a), plain_fingerprint(a + " end")}) == 2
+
+
 def test_components(spark):
     links = [(1, 2), (2, 1), (2, 3), (5, 5), (8, 7), (9, 8), (10, 9), (11, 10), (12, 11), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
