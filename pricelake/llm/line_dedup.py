@@ -15,10 +15,10 @@ other occurrences are merged per document and removed. Because the order is tota
 line has an equal line in an earlier place, one copy of every line stays somewhere. Lines that are
 removed in part keep their other words.
 
-*Plan.* One pass counts the windows by 8 bytes of their hash (pre-reduced map-side: a window found in a third
-of all documents is fine); which ones repeat goes to the tasks as a bit array of ``FILTER_BITS`` bits, of
-the same size for any corpus, in which a false bit only costs a row. A second pass writes the places of
-the windows with a set bit to the shared folder. One aggregate by the whole hash keeps the repeated ones
+*Plan.* The window hashes of each document are stored once. They are counted by 8 of their 16 bytes (pre-reduced
+map-side: a window found in a third of all documents is fine); which ones repeat goes to the tasks as a bit array of
+``FILTER_BITS`` bits, of the same size for any corpus, in which a false bit only costs a row. The places of
+the windows with a set bit are written to the shared folder. One aggregate by the whole hash keeps the repeated ones
 with their first place; an equi-join, split by AQE where a window is hot, gives the later places;
 one aggregate merges them per document; one left join by document brings them to the texts. Words,
 breaks and hashes of a batch are found by numpy at once.
@@ -46,6 +46,8 @@ WINDOW = 3
 WRAP = 24
 #: Words on either side among which a break has the least hash.
 REACH = 5
+#: Bytes of text that are cut into words at once (one text may be longer).
+SLAB = 8 << 20
 #: Bits of the array of repeated windows: 16 MB.
 FILTER_BITS = 1 << 27
 #: White space between words.
@@ -77,9 +79,9 @@ class Pieces:
 
         new = np.ones(n, bool)
         new[1:] = row[1:] != row[:-1]
-        first = np.flatnonzero(new)
         self.row = np.cumsum(new) - 1                       # lines that hold a word
-        long = np.diff(np.append(first, n))[self.row] > WRAP if n else new
+        self.row_first = np.append(np.flatnonzero(new), n)
+        long = np.diff(self.row_first)[self.row] > WRAP if n else new
         cut = new | (long & self._least(new))
         held = np.maximum.accumulate(np.where(cut, np.arange(n), 0))
         cut |= long & ((np.arange(n) - held) % WRAP == 0)
@@ -127,54 +129,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _chunked(texts: pa.Array):
-    """A batch in parts of about a megabyte of text."""
+    """Texts in parts of about ``SLAB`` bytes."""
     _, offs = utf8(texts)
-    for i, j in chunks(offs, 1 << 20):
+    for i, j in chunks(offs, SLAB):
         yield i, j, Pieces(texts.slice(i, j - i))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: (id, tie, text) into (id, tie, h1, h2), the window hashes of each text in order as two lists."""
+    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        texts = rows.column("text").combine_chunks()
+        for i, j, p in _chunked(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts):
+            n, h1, h2 = p.windows()
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            own = [rows.column(c).slice(i, j - i).combine_chunks() for c in ("id", "tie")]
+            yield pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in own),
+                                              *(pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))) for h in (h1, h2))], ["id", "tie", "h1", "h2"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= SLAB:
+            yield from made(held)
+            held, size = [], 0
+    if held:
+        yield from made(held)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task body: (h1, n) of the windows of a batch."""
     for b in batches:
-        for _, _, p in _chunked(b.column("text")):
-            h, n = np.unique(p.windows()[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h1", "n"])
+        h, n = np.unique(b.column("h1").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], ["h1", "n"])
 
 
 def _placed(bits: np.ndarray):
     """Task body: (id, tie, pos, h1, h2) of the windows whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, _, p in _chunked(b.column("text")):
-                n, h1, h2 = p.windows()
-                set_ = np.flatnonzero(has_bits(bits, h1))
-                doc = np.repeat(np.arange(len(n)), n)[set_]
-                pos = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[set_]
-                own = b.select(["id", "tie"]).take(pa.array(doc + i))
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(pos.astype(np.int32)), pa.array(h1[set_].view(np.int64)), pa.array(h2[set_].view(np.int64))], ["id", "tie", "pos", "h1", "h2"])
+            h1, h2 = (b.column(c).flatten().to_numpy() for c in ("h1", "h2"))
+            n = np.diff(b.column("h1").offsets.to_numpy())
+            set_ = np.flatnonzero(has_bits(bits, h1.view(np.uint64)))
+            doc = np.repeat(np.arange(len(n)), n)[set_]
+            pos = (np.arange(len(h1)) - np.repeat(np.cumsum(n) - n, n))[set_]
+            own = b.select(["id", "tie"]).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pos.astype(np.int32)), pa.array(h1[set_]), pa.array(h2[set_])], ["id", "tie", "pos", "h1", "h2"])
     return run
 
 
 def _cut(pieces: Pieces, doc: int, starts: list[int]) -> bytes:
     """A text without the words of the pieces that its windows at ``starts`` cover."""
-    base = pieces.doc_first[doc]
-    gone = np.zeros(pieces.doc_first[doc + 1] - base, bool)
+    text = pieces.raw[pieces.offs[doc]:pieces.offs[doc + 1]].tobytes()
+    base, top = pieces.doc_first[doc], pieces.doc_first[doc + 1]
+    gone = np.zeros(top - base, bool)
     for k in range(WINDOW):
         gone[np.array(starts) + k] = True
-    a, z = np.searchsorted(pieces.doc, [doc, doc + 1])
-    lost = gone[pieces.piece[a:z] - base]
-    text = pieces.raw[pieces.offs[doc]:pieces.offs[doc + 1]].tobytes()
-    begin, out, at = pieces.offs[doc], [], 0
-    row = pieces.row[a:z]
-    for r in np.unique(row[lost]).tolist():                 # lines that lose words
-        i, j = np.searchsorted(row, [r, r + 1])
-        words = [(pieces.start[a + k] - begin, pieces.end[a + k] - begin) for k in range(i, j)]
-        left = text.rfind(b"\n", 0, words[0][0]) + 1
-        right = text.find(b"\n", words[-1][1])
+    if gone.all():
+        return b"\n".join(x for x in text.split(b"\n") if not x.strip())
+    first = np.append(pieces.first, len(pieces.start))
+    lost = np.repeat(gone, np.diff(first[base:top + 1]))
+    a, begin, out, at = int(first[base]), int(pieces.offs[doc]), [], 0
+    for r in np.unique(pieces.row[a:a + len(lost)][lost]).tolist():                 # lines that lose words
+        i, j = pieces.row_first[r:r + 2].tolist()
+        x, y = (pieces.start[i:j] - begin).tolist(), (pieces.end[i:j] - begin).tolist()
+        left = text.rfind(b"\n", 0, x[0]) + 1
+        right = text.find(b"\n", y[-1])
         if left > at:
             out.extend(text[at:left - 1].split(b"\n"))
-        kept = [text[x:y] for (x, y), no in zip(words, lost[i:j], strict=True) if not no]
+        kept = [text[u:v] for u, v, no in zip(x, y, lost[i - a:j - a].tolist(), strict=True) if not no]
         if kept:
             out.append(b" ".join(kept))
         at = len(text) + 1 if right < 0 else right + 1
@@ -199,10 +223,11 @@ def _remove(texts: pa.Array, starts: pa.Array) -> pa.Array:
 def later_windows(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """(id, tie, starts): per document the starts of windows that occur earlier in the corpus."""
     rows = docs.select(doc_id.alias("id"), F.xxhash64(text).alias("tie"), text.cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_counted, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n"))
+    kind = rows.schema["id"].dataType.simpleString()
+    each = freeze(rows.mapInArrow(_windows, f"id {kind}, tie long, h1 array<long>, h2 array<long>"), "windows")
+    counts = each.select("h1").mapInArrow(_counted, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n"))
     bits = bit_filter(counts.where("n > 1"), "h1", FILTER_BITS)
-    kind = docs.select(doc_id.alias("id")).schema["id"].dataType.simpleString()
-    places = freeze(rows.mapInArrow(_placed(bits), f"id {kind}, tie long, pos int, h1 long, h2 long"), "windows")
+    places = freeze(each.mapInArrow(_placed(bits), f"id {kind}, tie long, pos int, h1 long, h2 long"), "places")
     place = F.struct("id", "tie", "pos")
     first = (places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
              .where("first != last").drop("last"))
