@@ -5,7 +5,7 @@ documents longer than a sequence are cut, into full pieces and a rest. Text is e
 chunk between spaces and line ends: the tokenizer drops white space and none of its steps looks
 across it, so the ids are those of the whole text. numpy cuts a slab of texts into chunks, and plain
 chunks into the runs of letters, single digits and runs of symbols that the tokenizer would cut them
-into; the distinct ones are encoded by the library (a cache of ``CACHE`` entries per worker, whose oldest
+into; the distinct ones are encoded by the library, runs by its model alone (a cache of ``CACHE`` entries per worker, whose oldest
 half goes when it is full), and the ids of a text are gathered by index.
 
 *Packing.* Full pieces are sequences of their own. The others are dealt by a hash of their row
@@ -28,6 +28,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,8 +52,6 @@ GENERATIONS = 10
 KEEP = 0.995
 
 _ENCODERS: dict[str, tuple] = {}
-#: Runs that the library encodes in one text.
-RUNS_AT_ONCE = 8192
 #: Bytes of text that are encoded at once (a longer text in parts that end at white space).
 SLAB = 8 << 20
 
@@ -67,6 +66,9 @@ _CLASS[np.frombuffer(b"'<", np.uint8)] = HARD
 _CLASS[np.frombuffer(b" \n", np.uint8)] = SPACE
 #: A byte of a unit that only the tokenizer can judge.
 _CALLS = re.compile(rb"['<\x00-\x20\x7f]|[\x80-\xff](?<!\xc3)(?<!\xc3.)|\xc3[\x97\xb7]", re.S)
+#: How the tokenizer's model spells bytes: those without a visible character of their own, in order, from 256 on.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(_UNSEEN)}
 #: First byte of the composed letters of Latin-1, and the second bytes that are signs.
 _LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
 
@@ -126,19 +128,18 @@ def _slab_ids(raw: np.ndarray, offs: np.ndarray, path: str) -> list[bytes]:
         for w in list(itertools.islice(cache, len(cache) // 2)):
             del cache[w]
         new = [w for w in words if w not in cache]
-    plain = [w for w in new if not _CALLS.search(w)]
-    for i in range(0, len(plain), RUNS_AT_ONCE):         # each run is one word of the tokenizer
-        part = plain[i:i + RUNS_AT_ONCE]
-        e = tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-        ids, starts = np.array(e.ids, "<u4").tobytes(), np.searchsorted(e.word_ids, np.arange(len(part) + 1)).tolist()
-        cache.update((w, ids[4 * x:4 * y]) for w, x, y in zip(part, starts[:-1], starts[1:], strict=True))
-    hard = [w for w in new if w not in cache]
+    hard, model = [], tokenizer.model
+    for w in new:                                        # a plain run is one word of the tokenizer: its model suffices
+        if _CALLS.search(w):
+            hard.append(w)
+        else:
+            own = model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_SHOWN))
+            cache[w] = struct.pack(f"<{len(own)}I", *[t.id for t in own])
     for w, e in zip(hard, tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False), strict=True):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
-    own = [cache[w] for w in words]
-    each = list(map(own.__getitem__, found.indices.to_numpy().tolist()))
-    at = np.searchsorted(row, np.arange(len(offs))).tolist()
-    return [b"".join(each[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    ids, ends = utf8(pa.array([cache[w] for w in words], pa.large_binary()).take(found.indices))
+    at = ends[np.searchsorted(row, np.arange(len(offs)))].tolist()
+    return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _parts(raw: np.ndarray):
