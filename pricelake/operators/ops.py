@@ -2,7 +2,7 @@
 
 Metrics are aggregates of event tables: an ``outcomes`` log (retailer, outcome, newest, at) and a
 ``request_log`` (route, latency, hit, at). Rates are tumbling-window counts divided by the window
-length; quantiles are exact (``percentile``) per window, and the exponential-bucket histogram is
+length; quantiles are exact per window, by counting, and the exponential-bucket histogram is
 kept as cumulative counts with the bucket-interpolated quantile next to it.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricelake.functions.joins import broadcast_if_small
 
@@ -41,12 +42,42 @@ def freshness(outcomes: DataFrame, retailers: DataFrame, now, accepted: Column)
              .select("slug", "newest", age.alias("freshness_sec")))
 
 
+#: Bins to the octave of the first pass over latencies.
+BINS_PER_OCTAVE = 64
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, qs=(0.5, 0.95, 0.99)) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per group without holding a group: a histogram by the
+    logarithm (a sum per bin, pre-reduced per task) shows which bins hold the ranks wanted, and of
+    these alone the distinct values are counted and ranked. Columns q0, q1, ...; null values are left
+    out, a group of nulls has null quantiles."""
+    v = F.col(value)
+    bin_ = F.when(v <= 0, F.lit(-(1 << 20))).otherwise(F.floor(F.log2(v) * BINS_PER_OCTAVE)).cast("int")
+    binned = rows.select(*keys, v.cast("double").alias("v"), bin_.alias("bin"))
+    bins = binned.groupBy(*keys, "bin").agg(F.count("v").alias("n"))
+    group = Window.partitionBy(*keys)
+    upto = bins.where("bin IS NOT NULL").withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "all": F.sum("n").over(group)})
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (f(F.col("all") - 1, q)).cast("long").alias("rank"))
+                      for i, q in enumerate(qs) for side, f in ((0, lambda n, q: F.floor(n * q)), (1, lambda n, q: F.ceil(n * q)))])
+    wanted = (upto.withColumn("r", F.explode(ranks)).where((F.col("r.rank") < F.col("upto")) & (F.col("r.rank") >= F.col("upto") - F.col("n")))
+              .select(*keys, "bin", "all", "r.*", (F.col("r.rank") - F.col("upto") + F.col("n")).alias("at")))
+    held = binned.join(wanted.select(*keys, "bin").distinct(), [*keys, "bin"], "left_semi").groupBy(*keys, "bin", "v").agg(F.count("*").alias("n"))
+    ordered = held.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys, "bin").orderBy("v")))
+    found = wanted.join(ordered, [*keys, "bin"]).where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - ordered["n"]))
+    value_of = lambda i, side: F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("v")))
+    out = []
+    for i, q in enumerate(qs):
+        place = (F.max("all") - 1) * F.lit(q)
+        out.append((value_of(i, 0) + (value_of(i, 1) - value_of(i, 0)) * (place - F.floor(place))).alias(f"q{i}"))
+    return bins.select(*keys).distinct().join(found.groupBy(*keys).agg(*out), keys, "left")
+
+
 def latency_quantiles(log: DataFrame, length_sec: int, qs=(0.5, 0.95, 0.99)) -> DataFrame:
     """Exact interpolated quantiles of latency (seconds) per route and window, reported to
     the nanosecond (9 decimals): engines interpolate in different arithmetic order."""
-    return (log.groupBy(window_start("at", f"{length_sec} seconds").alias("window_start"), "route")
-               .agg(*[F.round(F.percentile("latency", q), 9).alias(f"p{int(round(q * 100))}")
-                      for q in qs]))
+    rows = log.select(window_start("at", f"{length_sec} seconds").alias("window_start"), "route", "latency")
+    return exact_quantiles(rows, ["window_start", "route"], "latency", qs).select(
+        "window_start", "route", *[F.round(f"q{i}", 9).alias(f"p{int(round(q * 100))}") for i, q in enumerate(qs)])
 
 
 def latency_histogram(log: DataFrame, bounds: list[float] = LATENCY_BUCKETS) -> DataFrame:

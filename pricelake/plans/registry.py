@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Importing the plan modules registers their queries.
-    from pricelake.plans import read_side, ingest_side, text_side, vector_side, ops_side  # noqa: F401
+    from pricelake.plans import ingest_runs, ingest_side, ops_side, read_side, text_side, vector_side  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

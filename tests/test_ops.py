@@ -52,3 +52,25 @@ def test_cursor_positions_and_epoch_resets(spark):
     assert pos == {"valuecart": ("offers", 200, 0), "shopmax": ("catalog", 7, 3)}
     resets = ops.epoch_resets(log).collect()
     assert [(r["retailer"], r["arrival"], r["prev_epoch"]) for r in resets] == [("valuecart", 3, 100)]
+
+
+def test_exact_quantiles_against_plain_ranks(spark):
+    """Ties, zeros, negatives, nulls, one value, values of one bin and of many."""
+    import random
+
+    rng = random.Random(4)
+    groups = {"ties": [0.25] * 40 + [0.5] * 3, "one": [7.0], "two": [1.0, 2.0], "signs": [-2.0, 0.0, 0.0, -1.0, 3.0], "null": [None], "some": [None, 0.1, 0.2],
+              "near": [1 + i * 1e-9 for i in range(50)], "wide": [10 ** rng.uniform(-9, 9) for _ in range(3000)]}
+    rows = [(g, v) for g, own in groups.items() for v in own]
+    rng.shuffle(rows)
+    got = {r["g"]: r for r in ops.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    assert set(got) == set(groups)
+    for g, own in groups.items():
+        own = sorted(v for v in own if v is not None)
+        for i, q in enumerate((0.0, 0.5, 0.95, 1.0)):
+            if not own:
+                assert got[g][f"q{i}"] is None
+                continue
+            at = q * (len(own) - 1)
+            lo, hi = own[int(at)], own[min(int(at) + 1, len(own) - 1)]
+            assert abs(got[g][f"q{i}"] - (lo + (hi - lo) * (at - int(at)))) <= 1e-12 * max(1, abs(hi))
