@@ -98,10 +98,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def bit_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A bit array of ``bits`` bits (a power of two) in which the low bits of each 64-bit key are set. Spark
-    packs it into words, so at most ``bits`` / 64 rows come to the driver, whatever the keys."""
-    at = F.col(key).bitwiseAND(bits - 1)
-    rows = (keys.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(`{key}` & 63 AS INT))").alias("bit"))
+    """A bit array of ``bits`` bits (a power of two) in which two bits of each 64-bit key are set, by its low and by
+    its high half. Spark packs it into words, so at most ``bits`` / 64 rows come to the driver, whatever the keys."""
+    both = F.explode(F.array(F.col(key), F.shiftrightunsigned(F.col(key), 32)))
+    at = F.col("k").bitwiseAND(bits - 1)
+    rows = (keys.select(both.alias("k")).select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, CAST(k & 63 AS INT))").alias("bit"))
             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(max(1, bits // 64), np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
@@ -109,5 +110,10 @@ def bit_filter(keys: DataFrame, key: str, bits: int) -> np.ndarray:
 
 
 def has_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the bit of each key (unsigned 64-bit) is set."""
-    return (bits[(keys & np.uint64(len(bits) * 64 - 1)) >> np.uint64(6)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+    """Whether both bits of each key (unsigned 64-bit) are set."""
+    last = np.uint64(len(bits) * 64 - 1)
+
+    def one(k: np.ndarray) -> np.ndarray:
+        return (bits[(k & last) >> np.uint64(6)] >> (k & np.uint64(63))) & np.uint64(1) > 0
+
+    return one(keys) & one(keys >> np.uint64(32))
