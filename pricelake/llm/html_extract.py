@@ -2,7 +2,7 @@
 
 A page is parsed into a tree of elements and text pieces. Every node has a hidden label, content or
 not. Node potentials are log-linear in features of the node (tag, words of class and id, length,
-links); potentials of parent and child couple their labels. Sum-product messages go up from the
+links, share of the page's unlinked words); potentials of parent and child couple their labels. Sum-product messages go up from the
 leaves and down from the root and give each node's marginal exactly; text pieces whose marginal is
 above one half are the article. The weights are fitted by gradient ascent on the likelihood of the
 labelled pages of ``html_pages`` (observed minus expected counts, the latter from the same messages).
@@ -33,7 +33,7 @@ from pricelake.llm.html_pages import labelled
 PAGES = 500
 EPOCHS = 18
 #: Kinds of edges, see ``Tree.edge``.
-EDGES = 4
+EDGES = 6
 
 # How HTML treats its elements.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,10 +41,12 @@ _RAW = {"script", "style", "template", "textarea", "title", "noscript", "iframe"
 _INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong "
               "sub sup time tt u var button nobr ruby rb rt wbr img".split())
 _FLOW = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption tr td th address".split())
+_MAIN = {"article", "main"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "article", "main", "section", "body", "html"}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LENIENT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -57,13 +59,17 @@ class Tree:
         self.glue: dict[int, str] = {}                 # white space in front of a text piece
         self.open: dict[str, int] = {}                 # elements of each tag on the stack
         stack, block, i, n, blank = [0], 0, 0, len(page), False
+        tags, unclosed = _TAG, set()                   # a tag whose quotes do not end is sought once, so the scan is linear
         while i < n:
             j = page.find("<", i)
             m = None
             while j >= 0:                              # the next < that starts markup
                 if page.startswith("<!--", j) or page[j + 1:j + 2] in ("!", "?"):
                     break
-                m = _TAG.match(page, j)
+                m = tags and tags.match(page, j)
+                if not m and tags and page[j + 1:j + 3].lstrip("/")[:1].isalpha():
+                    tags = _LENIENT if tags is _TAG else None
+                    m = tags and tags.match(page, j)
                 if m:
                     break
                 j = page.find("<", j + 1)
@@ -91,7 +97,9 @@ class Tree:
                     block, blank = block + 1, False
                 continue
             if tag in _RAW:
-                end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, i)
+                end = None if tag in unclosed else re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, i)
+                if end is None:
+                    unclosed.add(tag)
                 if not m.group(3).endswith("/"):
                     i = end.end() if end else (n if tag in ("script", "style") else i)
                 continue
@@ -140,7 +148,7 @@ class Tree:
         for v in range(n - 1, 0, -1):
             words[self.parent[v]] += words[v]
             links[self.parent[v]] += links[v]
-        out = []
+        out, plain = [], max(1, words[0] - links[0])
         for v in range(n):
             size = f"{min(6, words[v].bit_length())}"
             if self.tag[v] is None:
@@ -149,15 +157,15 @@ class Tree:
                             *(["copy"] if "©" in t or "copyright" in t.lower() else [])])
             else:
                 share = links[v] / words[v] if words[v] else 0
-                out.append([f"t:{self.tag[v]}", f"e{size}", f"l{0 if not share else 1 + int(2.99 * share)}",
-                            *(f"c:{x}" for x in self.names[v])])
+                out.append([f"t:{self.tag[v]}", f"e{min(11, words[v].bit_length())}", f"l{0 if not share else 1 + int(2.99 * share)}",
+                            f"s{int(7.99 * (words[v] - links[v]) / plain)}", *(f"c:{x}" for x in self.names[v])])
         return out
 
     def edge(self, v: int) -> int:
         """Kind of the edge above a node: to text, to an inline element, to a paragraph or the like, to
-        any other block."""
+        any other block; the last two apart below an element that is named for the main text."""
         t = self.tag[v]
-        return 0 if t is None else 1 if t in _INLINE else 2 if t in _FLOW else 3
+        return 0 if t is None else 1 if t in _INLINE else (2 if t in _FLOW else 3) + 2 * (self.tag[self.parent[v]] in _MAIN)
 
     def article(self, content: list[float]) -> str:
         blocks: list[list[str]] = []

@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 
 # Names that sites give to the parts of a page.
-CONTENT = ["article", "main", "section", "div.content", "div.post", "div.entry", "div.story", "div.article-body",
+CONTENT = [*["article"] * 6, *["main"] * 3, "section", "div.content", "div.post", "div.entry", "div.story", "div.article-body",
            "div.main-content", "div.text", "div", "td", "body"]
 MENUS = ["nav", "ul.menu", "div.nav", "div.navbar", "ul.breadcrumbs", "ul", "div.navigation", "ul.links", "div.toc"]
 SIDES = ["aside", "div.sidebar", "div.related", "section.related", "div.widget", "div.trending", "div.teaser", "div.recommended"]
@@ -81,11 +81,13 @@ def _article(rng: random.Random, mark) -> str:
     out = [f"<h1>{mark(_words(rng, rng.randint(3, 12)))}</h1>"] if rng.random() < 0.8 else []
     if rng.random() < 0.3:
         out.append(f"<h2>{mark(_words(rng, 4))}</h2>")
-    for _ in range(rng.choice([1, 2, 3, 5, 8])):
+    untidy = rng.choice([0.05, 0.25, 0.25, 0.6, 0.95])      # short and untidy paragraphs are common, in some articles most
+    same = _untidy(rng) if rng.random() < 0.15 else None    # and some repeat one of them
+    for _ in range(rng.choice([1, 2, 3, 5, 8, 8, 20, 45])):
         text = lambda n: mark(_sentences(rng, n))
-        kind = rng.randrange(16)
-        if kind > 11:                                  # short and untidy paragraphs are common too
-            out.append(f"<p>{mark(_untidy(rng))}</p>")
+        kind = rng.randrange(12)
+        if rng.random() < untidy:
+            out.append(f"<p>{mark(same if same and rng.random() < 0.8 else _untidy(rng))}</p>")
         elif kind < 7 and kind != 5 and kind != 6:
             out.append(f"<p>{text(rng.randint(1, 8))}</p>")
         elif kind == 5:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,9 @@ from tokenizers import Tokenizer
 import public_tokenizers as P
 from pricelake.llm import byte_bpe, chat_format, embedding_dedup, html_extract, html_pages, packing, token_counts
 
-from .helpers import docs, groups, path
+from pricelake.llm.common import table
+
+from .helpers import SF, docs, groups, path
 
 PIECES = ["'s", "'re", "r", "'ll", "'", "''ve", " ", "  ", "\n", "\t", " \n", " ", "　", "A", "The", "x", "1", "42", "É", "ß", "ÿ",
           "İ", "Σ", "ς", "中文", "😀", "!", "...", "<|endoftext|>", "<|startoftext|>", "<", "\x00", "\x1c", "\x85", "s", "e", "́", "²", "_", "\1", "\2"]
@@ -174,6 +177,30 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_the_table(spark):
+    """The text of the article element (read here only) of every page, whatever its paragraphs are like."""
+    model = html_extract.model()
+    wrong = 0
+    rows = table(spark, SF, "pages").select("html").collect()
+    for (page,) in rows:
+        tree = html_extract.Tree(page or "")
+        inside = [0.0] * len(tree.tag)
+        for v in range(1, len(inside)):
+            inside[v] = float(inside[tree.parent[v]] or tree.tag[tree.parent[v]] == "article")
+        got, want = model.extract(page), tree.article(inside)
+        assert got or not want
+        wrong += got != want
+    assert wrong <= 0.005 * len(rows)
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    model = html_extract.model()
+    for part in ('<a "', "<textarea>", "<", "<a", "</", "<!--", "<script>", '<div class="', "<p <b \"'>", "<svg>", "&"):
+        begin = time.process_time()
+        model.extract(part * (1_000_000 // len(part)))
+        assert time.process_time() - begin < 8, part
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 24))
