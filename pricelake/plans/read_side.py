@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelake.operators import catalog, collections as coll, deals as dl, history as hist
 from pricelake.plans.oracle import COLLECTIONS_SQL, with_views as V
 from pricelake.plans.registry import query
+from pricelake.plans.stored import stored
 from pricelake.sources import fixtures as fx
 
 RETAILER_IDS = list(range(fx.N_RETAILERS))
@@ -200,7 +201,11 @@ pts AS (
 
 def history_points(spark, sf_dir, days):
     o = fx.obs(spark, sf_dir)
-    daily = hist.daily_rollup(o, fx.obs_order_key())
+    def build(path: str) -> None:
+        (hist.daily_rollup(o, fx.obs_order_key()).repartitionByRange("month", "product_id").sortWithinPartitions("month", "product_id")
+             .write.partitionBy("month").parquet(path))
+
+    daily = spark.read.parquet(stored(spark, sf_dir, "price-daily", build))
     return hist.history(daily, fx.retailers(spark, sf_dir), _today(spark, sf_dir), days)
 
 

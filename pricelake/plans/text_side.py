@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelake.operators import search as se
 from pricelake.plans.oracle import with_views as V
 from pricelake.plans.registry import query
+from pricelake.plans.stored import stored
 from pricelake.sources import fixtures as fx
 from pricelake.sources.tables import read_table
 
@@ -105,8 +106,15 @@ FROM hits JOIN products p ON p.id = doc_id JOIN priced ON product_id = doc_id
 WHERE {' AND '.join(['best IS NOT NULL', *band])}{page}"""
 
 
+def _postings(spark, sf_dir, name: str, docs, id_col: str, text_col: str):
+    """The stored postings of a text column, range-partitioned and sorted by token; a search reads the row
+    groups of its terms."""
+    path = stored(spark, sf_dir, name, lambda p: se.write_postings(se.postings(docs, id_col, text_col), p))
+    return spark.read.parquet(path)
+
+
 def _title_postings(spark, sf_dir):
-    return se.postings(fx.products(spark, sf_dir), "id", "title")
+    return _postings(spark, sf_dir, "title-postings", fx.products(spark, sf_dir), "id", "title")
 
 
 def _register_search(name: str, q: se.TextQuery | None, **kw):
@@ -163,6 +171,6 @@ SELECT doc_id, rank FROM ranked ORDER BY rank DESC, doc_id LIMIT 1000""")
 def q_document_rank(spark, sf_dir):
     """G2–G4 over the documents corpus: top 1,000 documents containing both terms, by the AND
     rank."""
-    p = se.postings(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    p = _postings(spark, sf_dir, "document-postings", read_table(spark, sf_dir, "documents"), "doc_id", "text")
     r = se.match_and_rank(p, DOC_QUERY)
     return r.orderBy(F.col("rank").desc(), "doc_id").limit(1000)
