@@ -202,8 +202,7 @@ pts AS (
 def history_points(spark, sf_dir, days):
     o = fx.obs(spark, sf_dir)
     def build(path: str) -> None:
-        (hist.daily_rollup(o, fx.obs_order_key()).repartitionByRange("month", "product_id").sortWithinPartitions("month", "product_id")
-             .write.partitionBy("month").parquet(path))
+        hist.write_daily_rollup(o, fx.obs_order_key(), path)
 
     daily = spark.read.parquet(stored(spark, sf_dir, "price-daily", build))
     return hist.history(daily, fx.retailers(spark, sf_dir), _today(spark, sf_dir), days)
