@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pricelake.functions.fnv import fnv1a64_limbs
 from pricelake.functions.joins import broadcast_bounded, broadcast_if_small
+from pricelake.session import freeze
 
 # Fixed values of the reference's embedding.
 DIM = 256
@@ -61,9 +62,14 @@ def hashed_vocab(feats: DataFrame) -> DataFrame:
 
 
 def sparse_embeddings(products: DataFrame) -> DataFrame:
-    """(id, idx, value) of the normalized vectors, non-zero entries only."""
-    feats = features(products)
-    vocab = broadcast_if_small(hashed_vocab(feats), VOCAB_BROADCAST_ROWS)
+    """(id, idx, value) of the normalized vectors, non-zero entries only.
+
+    Products are dealt by id first: a catalog of millions is a file of a few megabytes, which one task would
+    read, and the features of a product cost far more than its row. The cells, their norms and the join of
+    both need no other exchange. The number is given, as AQE would join partitions that are small in bytes."""
+    n = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    feats = features(products.repartition(n, "id"))
+    vocab = broadcast_if_small(freeze(hashed_vocab(feats), "vocabulary"), VOCAB_BROADCAST_ROWS)
     cells = (feats.join(vocab, "f").groupBy("id", "idx")
                   .agg(F.sum(F.col("sign") * F.col("w")).alias("s")))
     norms = cells.groupBy("id").agg(F.sum(F.col("s") * F.col("s")).alias("nn"))
@@ -118,12 +124,11 @@ def nearest_sparse(cells: DataFrame, target_id, k: int = NEIGHBOURS) -> DataFram
     t = broadcast_bounded(cells.filter(F.col("id") == target_id)
                           .select("idx", F.col("value").cast("double").alias("tv")))
     tnorm = t.agg(F.sqrt(F.sum(F.col("tv") * F.col("tv"))).alias("tn"))
-    dots = (cells.join(t, "idx").groupBy("id")
-                 .agg(F.sum(F.col("value").cast("double") * F.col("tv")).alias("dot")))
-    norms = cells.groupBy("id").agg(
-        F.sqrt(F.sum(F.col("value").cast("double") * F.col("value").cast("double"))).alias("nv"))
-    d = (norms.filter(F.col("id") != target_id).join(dots, "id", "left")
-              .crossJoin(broadcast_bounded(tnorm))                 # one-row scalar
+    v = F.col("value").cast("double")
+    # one pass: cells without a partner at the target count in the norm only
+    sums = (cells.filter(F.col("id") != target_id).join(t, "idx", "left").groupBy("id")
+                 .agg(F.sum(v * F.col("tv")).alias("dot"), F.sqrt(F.sum(v * v)).alias("nv")))
+    d = (sums.crossJoin(broadcast_bounded(tnorm))                 # one-row scalar
               .select("id", (1 - F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("nv") * F.col("tn")))
                       .alias("distance")))
     return d.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k)
@@ -138,8 +143,10 @@ def similar_products(products: DataFrame, emb: DataFrame | None, offers: DataFra
     else:
         nn = nearest(emb, "id", "embedding", target_id, k).select("id", "distance")
     p = products.select("id", "title", "brand", "category")
-    nn = broadcast_bounded(nn.join(p, "id"))
-    o = offers.select(F.col("product_id").alias("id"), "price_cents", "in_stock")
+    nn = freeze(nn.join(p, "id"), "nearest")
+    ids = [r["id"] for r in nn.select("id").distinct().collect()]        # at most k: the offers are filtered before they are grouped
+    o = offers.select(F.col("product_id").alias("id"), "price_cents", "in_stock").where(F.col("id").isin(ids))
+    nn = broadcast_bounded(nn)
     return (o.join(nn, "id").groupBy("id", "title", "brand", "category", "distance")
              .agg(F.min(F.when(F.col("in_stock"), F.col("price_cents"))).alias("best_price_cents"),
                   F.count(F.lit(1)).alias("offer_count"))
