@@ -52,8 +52,9 @@ GENERATIONS = 10
 KEEP = 0.995
 
 _ENCODERS: dict[str, tuple] = {}
-#: Bytes of text that are encoded at once (a longer text in parts that end at white space).
-SLAB = 8 << 20
+#: Bytes of text that are encoded at once (a longer text in parts that end at white space); the arrays of a slab
+#: take about 30 times as much.
+SLAB = 2 << 20
 
 # Classes of bytes. The white space that separates chunks; letters, digits and symbols of
 # printable ASCII; the bytes that only the tokenizer can judge (contractions, special tokens, other characters).
