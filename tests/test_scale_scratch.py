@@ -4,10 +4,14 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from pricelake.plans import ingest_runs
 from pricelake.session import checkpoint_dir, freeze, scratch_tables
 from pricelake.streaming import ingest
 
+from conftest import SF_SMALL
+
 ITEMS = [("a", 1, 0, '{"sku":"AB-001","title":"t","price_cents":100}'), ("a", 1, 1, '{"sku":"AB-002","price_cents":90}'),
          ("a", 2, 0, '{"sku":"AB001","price_cents":5000}'), ("b", 2, 1, "x")]
 
@@ -40,3 +44,13 @@ def test_nested_and_failed(spark):
     assert kept(spark) == before
     assert freeze(spark.range(4), "stays").count() == 4
     assert len(kept(spark) - before) == 1
+
+
+def test_the_feed_of_items_without_a_part(spark, tmp_dir):
+    for name in ("part", "supplier"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(f"{tmp_dir}/{name}.parquet")
+    items = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(200)
+    part = F.when(F.col("l_linenumber") != 2, F.col("l_partkey"))
+    items.withColumn("l_partkey", part).write.parquet(f"{tmp_dir}/lineitem.parquet")
+    rows = ingest_runs.landed(spark, tmp_dir).agg(F.count("*"), F.count_if(~F.contains("raw", F.lit("/p/")))).first()
+    assert rows[0] == 200 and rows[1] == spark.read.parquet(f"{tmp_dir}/lineitem.parquet").where("l_partkey IS NULL").count() > 0
