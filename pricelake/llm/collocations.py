@@ -6,12 +6,14 @@ words themselves, is searched for two words with one key, and another seed is ta
 So a phrase, the keys of its words in a row, is exact.
 
 *Vertical partitioning.* Prefixes grow by a word as long as they are frequent: one pass counts words, a
-second one pairs of frequent words, a third one writes the suffixes that begin with two overlapping
-frequent pairs, cut at ``DEPTH`` words, at the end of the piece and before the first pair that is not frequent. Which words
-and pairs are frequent goes to the tasks as a bit array of ``FILTER_BITS`` bits by hash; its size is
-the same for any corpus, and a false bit only sends a suffix that no count needs. Equal suffixes are
-one leaf with a count (merged in each task, up to ``HELD_LEAVES`` at a time, so a passage in a third of
-all documents is a few rows). Prefixes of two words are dealt into groups of about ``LEAVES`` leaves;
+second one pairs of frequent words, a third one the prefixes of three words and more in which every pair is
+frequent, and a fourth one writes the suffixes that begin with such a prefix of three words, cut at ``DEPTH``
+words, at the end of the piece and before the first word that makes the prefix infrequent. Which words and pairs are
+frequent goes to the tasks as a bit array of ``FILTER_BITS`` bits by hash, which longer prefixes as one of ``BUCKETS``
+bits; their sizes are the same for any corpus, and a false bit only sends a suffix that no count needs. The
+longer prefixes are counted by bucket alone: a bucket's count is the sum of its prefixes', so a bucket below the
+threshold holds no frequent one. Equal suffixes are one leaf with a count (merged in each task, up to
+``HELD_ROWS`` at a time, so a passage in a third of all documents is a few rows). Prefixes of two words are dealt into groups of about ``LEAVES`` leaves;
 a prefix with more leaves is extended by a word until it fits.
 
 *Subtrees.* Every group, one Arrow table of bounded size, is sorted into its suffix tree; the count of
@@ -44,11 +46,14 @@ from pricelake.session import freeze
 DEPTH = 5
 _ODD = np.array([3, 5, 7, 11, 13], np.uint64)
 #: Bytes of text taken at once (a longer piece is taken whole).
-SLAB = 8 << 20
+SLAB = 2 << 20
 #: Bits of the arrays of frequent words and pairs: 8 MB each.
 FILTER_BITS = 1 << 26
-#: Leaves that a task holds to merge equal ones before it passes them on.
-HELD_LEAVES = 1 << 20
+#: Buckets of prefixes of three words and more, and buckets of a row that a task sends.
+BUCKETS = 1 << 24
+BLOCK = 1 << 14
+#: Pairs, prefixes or leaves that a task holds to merge equal ones before it passes them on.
+HELD_ROWS = 1 << 19
 #: Leaves of a prefix that is not extended, and twice the mean of a group.
 LEAVES = 1 << 17
 
@@ -166,14 +171,30 @@ def _merged(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _held(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The merged rows of slabs, merged with each other up to ``HELD_ROWS`` at a time."""
+    held, size = [], 0
+    for rows, n in found:
+        held.append((rows, n))
+        size += len(n)
+        if size >= HELD_ROWS:
+            yield _merged(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _merged(*(np.concatenate(x) for x in zip(*held)))
+
+
 def _count_pairs(words: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task body: (a, b, n) of adjacent frequent words, by their keys."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in slabs(batches, seed):
             key = s.keys()
             known = has_bits(words, key)
             at = np.flatnonzero(s.joined & known[1:] & known[:-1])
-            rows, n = _merged(np.stack([key[at], key[at + 1]], 1), np.ones(len(at), np.int64))
+            yield _merged(np.stack([key[at], key[at + 1]], 1), np.ones(len(at), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in _held(found(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), pa.array(n)], ["a", "b", "n"])
     return run
 
@@ -189,34 +210,76 @@ def _phrases(rows: np.ndarray, depth: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(data.tobytes())])
 
 
-def _write_suffixes(pairs: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task body: (phrase, n) of the truncated suffixes that begin with two frequent pairs."""
-    def leaves(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        rows, n = _merged(*(np.concatenate(x) for x in zip(*held)))
-        return pa.RecordBatch.from_arrays([_phrases(rows, (rows != 0).sum(1)), pa.array(n)], ["g", "n"])
+def _suffixes(batches: Iterator[pa.RecordBatch], pairs: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slab by slab: the suffixes that begin with two frequent pairs, ``DEPTH`` keys each, 0 from the first pair on that
+    is not frequent; the buckets of their prefixes of three words and more (a column for each length)."""
+    for s in slabs(batches, seed):
+        key = s.keys()
+        link = np.zeros(len(key) + DEPTH, bool)
+        if len(key) > 1:
+            link[:len(key) - 1] = s.joined & has_bits(pairs, _pair(key[:-1], key[1:]))
+        at = np.flatnonzero(link[:-1] & link[1:])
+        rows = np.zeros((len(at), DEPTH), np.uint64)
+        key = np.concatenate([key, np.zeros(DEPTH, np.uint64)])
+        on = np.ones(len(at), bool)
+        rows[:, 0] = key[at]
+        for k in range(1, DEPTH):
+            on &= link[at + k - 1]
+            rows[on, k] = key[at[on] + k]
+        bucket = np.zeros((len(at), DEPTH - 2), np.int64)
+        h = _pair(rows[:, 0], rows[:, 1])
+        for k in range(2, DEPTH):
+            h = _pair(h, rows[:, k])
+            bucket[:, k - 2] = h & np.uint64(BUCKETS - 1)
+        yield rows, bucket
+
+
+def _count_prefixes(pairs: np.ndarray, seed: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task body: (block, at, n) of the prefixes of three words and more: the buckets found in a block of ``BLOCK``, each
+    by two bytes, and their counts, ``least`` at most."""
+    kind = np.min_scalar_type(least)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows, bucket in _suffixes(batches, pairs, seed):
+            at, n = np.unique(bucket[rows[:, 2:] != 0], return_counts=True)
+            yield at.view(np.uint64)[:, None], n.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for s in slabs(batches, seed):
-            key = s.keys()
-            link = np.zeros(len(key) + DEPTH, bool)
-            if len(key) > 1:
-                link[:len(key) - 1] = s.joined & has_bits(pairs, _pair(key[:-1], key[1:]))
-            at = np.flatnonzero(link[:-1] & link[1:])
-            rows = np.zeros((len(at), DEPTH), np.uint64)
-            key = np.concatenate([key, np.zeros(DEPTH, np.uint64)])
-            on = np.ones(len(at), bool)
-            rows[:, 0] = key[at]
-            for k in range(1, DEPTH):
-                on &= link[at + k - 1]
-                rows[on, k] = key[at[on] + k]
-            held.append(_merged(rows, np.ones(len(at), np.int64)))
-            size += len(held[-1][1])
-            if size >= HELD_LEAVES:
-                yield leaves(held)
-                held, size = [], 0
-        if held:
-            yield leaves(held)
+        for rows, n in _held(found(batches)):
+            order = np.argsort(rows[:, 0])
+            at, n = rows[order, 0].astype(np.int64), np.minimum(n[order], least).astype(kind)
+            edges = np.flatnonzero(np.diff(at // BLOCK, prepend=-1, append=BUCKETS // BLOCK + 1))
+            spans = list(zip(edges[:-1], edges[1:]))
+            low = (at % BLOCK).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(at[i]) // BLOCK for i, _ in spans], pa.int64()), pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
+                 pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())], ["block", "at", "n"])
+    return run
+
+
+def _frequent_buckets(least: int) -> Callable[[pa.Table], pa.Table]:
+    """Group body: the rows of a block into (block, bits): which of its buckets have ``least`` prefixes, as bytes of bits."""
+    kind = np.min_scalar_type(least)
+
+    def run(block: pa.Table) -> pa.Table:
+        at, n = (np.frombuffer(utf8(block.column(c))[0].tobytes(), t) for c, t in (("at", np.uint16), ("n", kind)))
+        bits = np.packbits(np.bincount(at, n, BLOCK) >= least, bitorder="little")
+        return pa.table({"block": block.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+    return run
+
+
+def _write_suffixes(pairs: np.ndarray, prefixes: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task body: (phrase, n) of the truncated suffixes that begin with a frequent prefix of three words."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows, bucket in _suffixes(batches, pairs, seed):
+            on = np.logical_and.accumulate((rows[:, 2:] != 0) & (prefixes[bucket >> 3] >> (bucket & 7) & 1 > 0), 1)
+            rows[:, 2:][~on] = 0
+            rows = rows[on[:, 0]]
+            yield _merged(rows, np.ones(len(rows), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n in _held(found(batches)):
+            yield pa.RecordBatch.from_arrays([_phrases(rows, (rows != 0).sum(1)), pa.array(n)], ["g", "n"])
     return run
 
 
@@ -261,10 +324,21 @@ def pairs_of(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataF
     return freeze(pairs.where(F.col("n") >= least), "pairs")
 
 
-def leaves_of(texts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """The stored leaves (g, n): distinct truncated suffixes that begin with two frequent pairs."""
+def prefixes_of(texts: DataFrame, pairs: np.ndarray, seed: int, least: int) -> np.ndarray:
+    """The bytes of ``BUCKETS`` bits: which buckets hold ``least`` prefixes of three words and more."""
+    rows = (texts.mapInArrow(_count_prefixes(pairs, seed, least), "block long, at binary, n binary")
+            .groupBy("block").applyInArrow(_frequent_buckets(least), "block long, bits binary").toArrow())
+    out = np.zeros((max(1, BUCKETS // BLOCK), BLOCK // 8), np.uint8)
+    for block, bits in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def leaves_of(texts: DataFrame, pairs: DataFrame, seed: int, least: int = 1) -> DataFrame:
+    """The stored leaves (g, n): distinct truncated suffixes that begin with a frequent prefix of three words."""
     frequent = bit_filter(pairs.select(F.arrow_udf(_pair_of, "long")("a", "b").alias("pair")), "pair", FILTER_BITS)
-    return freeze(texts.mapInArrow(_write_suffixes(frequent, seed), "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")), "leaves")
+    prefixes = prefixes_of(texts, frequent, seed, least)
+    return freeze(texts.mapInArrow(_write_suffixes(frequent, prefixes, seed), "g binary, n long").groupBy("g").agg(F.sum("n").alias("n")), "leaves")
 
 
 def _part(g: Column | str, first: int, n: int = DEPTH) -> Column:
@@ -290,7 +364,7 @@ def grouped(leaves: DataFrame) -> tuple[DataFrame, int]:
 def phrases(texts: DataFrame, words: DataFrame, seed: int, least: int) -> DataFrame:
     """The stored frequent phrases (g, f) of one to ``DEPTH`` words."""
     pairs = pairs_of(texts, words, seed, least)
-    leaves, _ = grouped(leaves_of(texts, pairs, seed))
+    leaves, _ = grouped(leaves_of(texts, pairs, seed, least))
     nodes = (leaves.groupBy("grp").applyInArrow(_subtree(least), "g binary, f long")
              .groupBy("g").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     single = words.where(F.col("n") >= least).select(_bytes("key").alias("g"), F.col("n").alias("f"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import functions as F
 
 from pricelake.llm import collocations as co
@@ -101,3 +102,48 @@ def test_exact_beyond_64_bits(spark):
 def test_empty_table(spark):
     out = co.mine(spark.createDataFrame([], SCHEMA))
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and out.count() == 0
+
+
+def test_suffixes_of_infrequent_prefixes_are_not_sent(spark):
+    """Many suffixes of frequent pairs only: none is a leaf unless its first three words are frequent."""
+    rng = random.Random(4)
+    rows = [("en", " ".join(rng.choices([f"w{i}" for i in range(14)], k=60))) for _ in range(120)] + [("en", "w1 w2 w3 w4 w5 w6.")] * 30
+    texts = table(spark, rows).select("lang", "text").repartition(3)
+    f = Counter(tuple(w[i:i + k]) for _, t in rows for w in pieces(t) for k in (2, 3) for i in range(len(w) - k + 1))
+    assert min(n for p, n in f.items() if len(p) == 2) >= 16 and sum(n < 16 for p, n in f.items() if len(p) == 3) > 2000
+    words, seed = co.words_of(texts)
+    pairs = co.pairs_of(texts, words, seed, 16)
+    frequent = sum(n >= 16 for p, n in f.items() if len(p) == 3)
+    leaves = co.leaves_of(texts, pairs, seed, 16)
+    assert leaves.selectExpr("substring(g, 1, 24) AS p").distinct().count() == frequent < 100
+    assert sorted(map(tuple, co.mine(texts, 16, 500).collect())) == plain(rows, 16, 500)
+
+
+def test_shared_buckets_and_small_holds(monkeypatch):
+    """Task bodies alone: rows sent a few at a time, and buckets that many prefixes share, lose no frequent phrase."""
+    rng = random.Random(3)
+    rows = [("en", " ".join(rng.choices("abcd", k=20))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows]), pa.array([t for _, t in rows])], ["lang", "text"])
+    pairs = np.full(16, -1, np.int64).view(np.uint64)
+    want = Counter(tuple(w[i:i + k]) for _, t in rows for w in pieces(t) for k in (3, 4, 5) for i in range(len(w) - k + 1))
+    frequent, sent = {p for p, n in want.items() if n >= 12}, []
+    monkeypatch.setattr(co, "SLAB", 100)
+    for buckets, held in ((1 << 24, 1 << 19), (1 << 24, 10), (64, 10)):
+        monkeypatch.setattr(co, "BUCKETS", buckets)
+        monkeypatch.setattr(co, "BLOCK", min(1 << 14, buckets // 4))
+        monkeypatch.setattr(co, "HELD_ROWS", held)
+        found = pa.Table.from_batches(list(co._count_prefixes(pairs, 0, 12)(iter([batch]))))
+        bits = np.zeros((buckets // co.BLOCK, co.BLOCK // 8), np.uint8)
+        for k in set(found.column("block").to_pylist()):
+            own = co._frequent_buckets(12)(found.filter(pa.compute.equal(found.column("block"), k)))
+            bits[k] = np.frombuffer(own.column("bits")[0].as_py(), np.uint8)
+        spell = {int(k): w for s in co.slabs(iter([batch]), 0) for k, w in zip(s.keys(), s.dictionary.take(pa.array(s.code)).to_pylist())}
+        total = Counter()
+        for b in co._write_suffixes(pairs, bits.reshape(-1), 0)(iter([batch])):
+            for g, n in zip(b.column("g").to_pylist(), b.column("n").to_pylist()):
+                w = tuple(spell[int(x)].decode() for x in np.frombuffer(g, ">u8"))
+                for k in range(3, len(w) + 1):
+                    total[w[:k]] += n
+        assert frequent and {p: total[p] for p in frequent} == {p: want[p] for p in frequent}
+        sent.append(len(total))
+    assert sent[0] == sent[1] == len(frequent) < sent[2]
