@@ -9,7 +9,8 @@ id. They are bound once per expression, so a task carries one copy of each.
 its length merges, at each step, the leftmost pair of the lowest rank and looks up the two pairs that
 the new token forms. The state of the fold is two strings of ids of four hex digits, between end
 marks: the tokens, and what each would merge to with its predecessor; cutting strings is several
-times cheaper than slicing arrays, and a smaller string is a lower rank. Words are folded where they are distinct: the ``COMMON`` most frequent words of a
+times cheaper than slicing arrays, and a smaller string is a lower rank. The lowest rank is carried
+along, so the steps after the last merge search nothing. Words are folded where they are distinct: the ``COMMON`` most frequent words of a
 sample once up front into two more literals (a cache of bounded size: which words it holds changes
 the time, not the ids), all others once per slice of ``SLICE`` words of a document, so the work on a
 very long text stays in proportion to its length. Nothing is shuffled but the counts of the sampled
@@ -112,20 +113,24 @@ def _merged(e: Column, a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(bucket, F.concat(a, b)), F.lit(NONE))
 
 
+def _least(r: Column) -> Column:
+    """The lowest rank of the string of what tokens merge to."""
+    return F.array_min(F.split(r, " "))
+
+
 def _step(e: Column, acc: Column) -> Column:
-    """Merges the leftmost pair of the lowest rank, if any. An id is at position 5 i + 1 of its string;
-    a match is never across ids, because they are separated by spaces."""
-    t, r = acc["t"], acc["r"]
+    """Merges the leftmost pair of the lowest rank ``m``, if any; a word that is done is passed on as it is. An id is at
+    position 5 i + 1 of its string; a match is never across ids, because they are separated by spaces."""
+    t, r, m = acc["t"], acc["r"], acc["m"]
     part = lambda c, at: F.substring(c, at, F.lit(4))
 
-    def at(m: Column, q: Column) -> Column:
-        return F.struct(
-            F.concat(F.substring(t, F.lit(1), q - 6), m, F.substring(t, q + 4, F.length(t))).alias("t"),
-            F.concat(F.substring(r, F.lit(1), q - 6), _merged(e, part(t, q - 10), m), F.lit(" "),
-                     _merged(e, m, part(t, q + 5)), F.substring(r, q + 9, F.length(r))).alias("r"))
+    def at(q: Column) -> Column:
+        ranks = F.concat(F.substring(r, F.lit(1), q - 6), _merged(e, part(t, q - 10), m), F.lit(" "),
+                         _merged(e, m, part(t, q + 5)), F.substring(r, q + 9, F.length(r)))
+        return _let(ranks, lambda x: F.struct(
+            F.concat(F.substring(t, F.lit(1), q - 6), m, F.substring(t, q + 4, F.length(t))).alias("t"), x.alias("r"), _least(x).alias("m")))
 
-    return _let(F.array_min(F.split(r, " ")), lambda m: F.when(m == NONE, acc).otherwise(
-        _let(F.instr(r, m), lambda q: at(m, q))))
+    return F.when(m == NONE, acc).otherwise(_let(F.instr(r, m), at))
 
 
 def fold(word: Column, e: Column) -> Column:
@@ -134,10 +139,10 @@ def fold(word: Column, e: Column) -> Column:
     plain = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(e["bytes"], F.ascii(F.substring(word, i, F.lit(1)))))
     other = _let(F.hex(word.cast("binary")), lambda h: F.transform(F.sequence(F.lit(1), n), lambda i: F.get(
         e["bytes"], F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))))
-    start = _let(F.when(n == F.char_length(word), plain).otherwise(other), lambda ids: F.struct(
-        F.concat(F.lit(f"{NONE} "), F.array_join(ids, " "), F.lit(f" {NONE}")).alias("t"),
-        F.concat(F.lit(f"{NONE} {NONE} "), F.array_join(F.transform(
-            F.slice(ids, F.lit(2), n), lambda b, i: F.concat(_merged(e, F.get(ids, i), b), F.lit(" "))), ""), F.lit(NONE)).alias("r")))
+    ranks = lambda ids: F.concat(F.lit(f"{NONE} {NONE} "), F.array_join(F.transform(
+        F.slice(ids, F.lit(2), n), lambda b, i: F.concat(_merged(e, F.get(ids, i), b), F.lit(" "))), ""), F.lit(NONE))
+    start = _let(F.when(n == F.char_length(word), plain).otherwise(other), lambda ids: _let(ranks(ids), lambda r: F.struct(
+        F.concat(F.lit(f"{NONE} "), F.array_join(ids, " "), F.lit(f" {NONE}")).alias("t"), r.alias("r"), _least(r).alias("m"))))
     done = F.aggregate(F.sequence(F.lit(1), n), start, lambda acc, _: _step(e, acc))
     ids = F.filter(F.split(done["t"], " "), lambda x: x != NONE)
     return F.array_join(F.transform(ids, lambda x: F.conv(x, 16, 10)), " ")

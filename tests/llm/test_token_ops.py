@@ -43,6 +43,14 @@ def test_byte_bpe_round_trip(spark, encoding):
     assert byte_bpe.round_trip(docs(spark, []), path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_byte_bpe_word_that_is_done_is_passed_on(spark):
+    """The fold reads the carried lowest rank alone once nothing merges."""
+    state = F.struct(F.lit("ZZZZ 0001 ZZZZ").alias("t"), F.lit("not read").alias("r"), F.lit(byte_bpe.NONE).alias("m"))
+    tables = byte_bpe.Tables(path("byte_bpe_50k.tiktoken"))
+    out = spark.range(1).select(tables.bind(lambda e: byte_bpe._step(e, state)).alias("s")).first()["s"]
+    assert tuple(out) == ("ZZZZ 0001 ZZZZ", "not read", byte_bpe.NONE)
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
     d = docs(spark, TEXTS + ["x y " * 400]).withColumn("n_tokens", F.lit("clash"))
