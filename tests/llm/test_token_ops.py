@@ -51,6 +51,39 @@ def test_byte_bpe_word_that_is_done_is_passed_on(spark):
     assert tuple(out) == ("ZZZZ 0001 ZZZZ", "not read", byte_bpe.NONE)
 
 
+def own_ranks(tmp_path, merged):
+    """A rank file of the single bytes and the given tokens, in this order."""
+    pieces = [bytes([b]) for b in range(256)] + merged
+    file = tmp_path / "own.tiktoken"
+    file.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % i for i, p in enumerate(pieces)))
+    return str(file), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
+
+
+@pytest.mark.parametrize("merged, ordered", [
+    ([b"ab", b"bc", b"aa", b"aab", b"abab", b"bcc", b"aabbcc", b"aaab", b"\xc3\xa9", b"a\xc3\xa9", b"aaaa", b"ababab", b"aaababab"], True),
+    ([b"ab", b"bc", b"aa", b"aab", b"abab", b"bcc", b"\xc3\xa9", b"a\xc3\xa9", b"aaaa", b"ababab", b"aaababab"], True),
+    ([b"aab", b"ab", b"aa", b"abab"], False)])
+def test_byte_bpe_folds_by_rank_where_the_file_is_ordered(spark, tmp_path, merged, ordered):
+    """All places of a pair are merged at once, in the order of the ranks; other files are folded one merge a step."""
+    file, own = own_ranks(tmp_path, merged)
+    tables = byte_bpe.Tables(file)
+    assert tables.ordered == ordered
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aabbcé", k=rng.randint(1, 14))) for _ in range(400)] + ["a" * 301, "ab" * 150 + "é"]
+    for r in byte_bpe.encode(docs(spark, texts), tables).collect():
+        # the library gives a whole word that is a token its id; an unordered file may not reach it by merges
+        if ordered or texts[r["doc_id"] - 1].encode() not in merged:
+            assert r["ids"] == own.encode_ordinary(texts[r["doc_id"] - 1]), texts[r["doc_id"] - 1]
+
+
+def test_byte_bpe_takes_a_step_a_token_of_the_word(spark, monkeypatch):
+    """The registered file is ordered, so no word is folded by searching for the lowest rank after every merge."""
+    monkeypatch.setattr(byte_bpe, "_step", None)
+    tables = byte_bpe.Tables(path("byte_bpe_50k.tiktoken"))
+    out = byte_bpe.encode(docs(spark, ["zgrablwyn"]), tables).first()
+    assert tables.ordered and bytes.fromhex("".join(p.hex() for i in out["ids"] for p, r in tables.ranks.items() if r == i)) == b"zgrablwyn"
+
+
 def test_token_counts(spark):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
     d = docs(spark, TEXTS + ["x y " * 400]).withColumn("n_tokens", F.lit("clash"))
